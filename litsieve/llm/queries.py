@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontamination, substring_dedup, suffix_dedup, token_counts, token_files
+from . import byte_bpe, decontamination, near_dedup, substring_dedup, suffix_dedup, token_counts, token_files
 from .shared import documents
 
 
@@ -24,6 +24,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(documents(spark, sf_dir), size=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept")
 
@@ -38,7 +43,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op3_token_counts, op4_suffix_dedup, op6_substring_dedup, op7_decontamination, op9_byte_bpe)}
+    return {f.__name__: f for f in (op2_token_files, op3_token_counts, op4_suffix_dedup, op5_near_dedup, op6_substring_dedup, op7_decontamination, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
