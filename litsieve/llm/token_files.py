@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .pieces import PieceIds, byte_letters, byte_pieces, odd_rows
 from .shared import partitions, written
-from .vec import chunks, ranges
+from .vec import CHUNK_BYTES, chunks, ranges
 
 BLOCK_IDS = 2_000_000
 ROUNDS = 5
@@ -183,7 +183,7 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, base: int = 50257, end_id
             null = np.asarray(keys.is_null())
             keys = keys.fill_null(0).to_numpy(zero_copy_only=False)
             shard = batch.column(2)[0].as_py() if batch.num_rows else shard
-            for a, b, buf, off in chunks(batch):
+            for a, b, buf, off in chunks(batch, limit=min(CHUNK_BYTES, block_ids)):
                 ids, sizes = encoder.encode(buf, off)
                 ends = np.cumsum(sizes)
                 held.append((np.insert(ids, ends, end_id).astype(np.uint16), sizes + 1, keys[a:b], null[a:b]))
