@@ -115,8 +115,8 @@ def pattern_tables(items: list[tuple[str, str]], width: int) -> list[PatternTabl
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, and
-    spans (pairs of 32-bit word numbers) of hit words."""
+    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items,
+    spans (pairs of 32-bit word numbers) of hit words, and the row's key."""
     spark = docs.sparkSession
     base = docs.select(row_key("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item is not null and text is not null")
@@ -188,8 +188,8 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_b
                 digest.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
             n_hit = pa.array(hit, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), n_hit, pa.array(number, pa.int64()), pa.array(digest), pa.array([x > 0 for x in hit], pa.bool_()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.binary())],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"],
+                [batch.column(0), batch.column(1), n_hit, pa.array(number, pa.int64()), pa.array(digest), pa.array([x > 0 for x in hit], pa.bool_()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.binary()), batch.column(4)],
+                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans", "rid"],
             )
 
-    return found.select("doc_id", "n_words", "spans", "items").mapInArrow(finish, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans binary")
+    return found.select("doc_id", "n_words", "spans", "items", "rid").mapInArrow(finish, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans binary, rid long")

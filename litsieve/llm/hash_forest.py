@@ -35,7 +35,9 @@ from .shared import written
 
 TREES = 96
 BITS = 24
-SHARE = 0.45
+SHARE = 0.75
+#: Rows below the prefixes, over all trees, that a query wants in any case.
+LEAST = 4000
 SHARD_ROWS = 20_000
 QUERY_BLOCK = 4096
 SEED = 20
@@ -88,7 +90,7 @@ class Forest:
 
 def best(forest: Forest, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(vec_ids, scores) of the k best candidates of each query."""
-    target = max(4 * (k + 1), int(share * len(ids)))
+    target = max(LEAST, int(share * len(ids)))
     for q, rows in enumerate(forest.candidates(queries, target)):
         rows = rows[ids[rows] != query_ids[q]]
         score = forest.vectors[rows] @ queries[q]

@@ -34,7 +34,7 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept")
+    return substring_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept", "rid")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,9 +57,18 @@ def word_windows(width: int) -> Windows:
 
 
 def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, kept_sha256 and the kept text (words joined by
-    one space)."""
-    found = covered(docs, word_windows(width))
+    """Per row: doc_id, n_words, n_removed, kept_sha256, the kept text (words joined by one
+    space), and the row's key."""
+    return apply_marks(covered(docs, word_windows(width)), width)
+
+
+def changed_texts(docs: DataFrame, width: int = 50) -> DataFrame:
+    """rid and kept text of the rows that lose words, each row key once."""
+    found = covered(docs, word_windows(width)).where("copy or marks is not null")
+    return apply_marks(found, width).where("n_removed > 0").select("rid", "kept").distinct()
+
+
+def apply_marks(found: DataFrame, width: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,6 +85,6 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
                 removed.append(len(words) - len(left))
                 digest.append(hashlib.sha256(out).hexdigest())
                 kept.append(out.decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest), pa.array(kept)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest), pa.array(kept), batch.column(4)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "rid"])
 
-    return found.select("doc_id", "text", "copy", "marks").mapInArrow(rows, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return found.select("doc_id", "text", "copy", "marks", "rid").mapInArrow(rows, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, rid long")

@@ -88,9 +88,14 @@ def test_recall_against_brute_force(spark):
     score = x[queries] @ x.T
     score[np.arange(len(queries)), queries] = -9
     want = np.argsort(-score, 1)[:, :20]
-    assert np.mean([len(g & set(w.tolist())) / 20 for g, w in zip(got, want, strict=True)]) > 0.93
+    assert np.mean([len(g & set(w.tolist())) / 20 for g, w in zip(got, want, strict=True)]) > 0.94
     chosen = [len(c) for c in forest.candidates(x[queries], int(hash_forest.SHARE * len(x)))]
     assert np.mean(chosen) < 0.7 * len(x)
+    few = rows.vec_id.to_numpy()[::20]
+    everything = hash_forest.nearest(table).toPandas().groupby("query_id").vec_id.apply(set)
+    x = x[: len(rows)]
+    want = {q: set(rows.vec_id.to_numpy()[np.argsort(-np.where(rows.vec_id == q, -9, x @ x[rows.index[rows.vec_id == q][0]]))[:20]].tolist()) for q in few if q % 20 == 0}
+    assert np.mean([len(everything[q] & w) / 20 for q, w in want.items()]) > 0.94
 
 
 @pytest.mark.parametrize(("line", "expected"), [
