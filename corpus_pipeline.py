@@ -1,22 +1,63 @@
 """A training-corpus pipeline out of the corpus operators.
 
-Each stage takes (spark, docs, sf_dir) and returns documents; the last returns digests.
+Each stage takes (spark, docs, sf_dir) and returns documents with their own columns; the
+last returns a row of figures and digests for each document that is left. A stage works
+on all that its predecessor kept, and its decisions take effect:
+
+1. language ID: documents go whose language can't be told (no text, or no letter)
+2. MinHash near-dedup: one document of each group stays (five-word shingles, 0.8)
+3. substring dedup: words go that a 50-word window repeats from a smaller doc_id
+4. benchmark decontamination: documents go that hold a benchmark window
+5. byte-level BPE: what is left is encoded and decoded
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from litsieve.llm import byte_bpe, decontamination, language_id, near_dedup, substring_dedup
+from litsieve.llm.shared import row_key
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    langs, probability = language_id.learn(docs, vocabulary)
+    return language_id.predict(docs, langs, probability, vocabulary).where("lang_pred <> 'und'").select(*docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.first_of_group(docs, size=5, percent=80)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that lose words are their kept words, joined by one space; others stay as
+    they are. A document that loses all its words goes."""
+    changed = substring_dedup.changed_texts(docs)
+    keyed = docs.withColumn("_rid", row_key("doc_id", "text"))
+    joined = keyed.join(changed.select(F.col("rid").alias("_rid"), "kept"), "_rid", "left").where("kept is null or kept <> ''")
+    text = F.coalesce("kept", "text")
+    return joined.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept")).cast("long")).withColumn("text", text).select(*docs.columns)
+
 
-from litsieve.llm import byte_bpe
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontamination.find_windows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaks = found.where("contaminated").select(F.col("rid").alias("_rid")).distinct()
+    return docs.withColumn("_rid", row_key("doc_id", "text")).join(leaks, "_rid", "left_anti").select(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes and decodes what is left."""
     return byte_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("byte-level BPE", bpe_stage)]
+STAGES = [
+    ("language ID", language_stage),
+    ("MinHash near-dedup", near_dedup_stage),
+    ("substring dedup", substring_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("byte-level BPE", bpe_stage),
+]
 
 #: Classifiers and sketches are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
