@@ -13,6 +13,30 @@ QUALITY_TIERS = ["peer_reviewed_journal", "non_peer_reviewed_article", "peer_rev
 DISCOVERY_METHODS = ["file_path", "keyword_search", "backward_citation", "forward_citation", "literature_review_mining", "recommendation", "manual", "api"]
 DECISIONS = ["included", "included_manual", "excluded", "excluded_duplicate", "excluded_incomplete", "excluded_manual", "pending", "manual_review", "uncertain"]
 
+PLAIN = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+
+
+def parts(text: str) -> list[str]:
+    """Splits at commas that aren't inside angle brackets."""
+    out, depth = [""], 0
+    for c in text:
+        depth += {"<": 1, ">": -1}.get(c, 0)
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [p.strip() for p in out]
+
+
+def kind(text: str) -> T.DataType:
+    """A type from its text, without a running session."""
+    if text.startswith("array<"):
+        return T.ArrayType(kind(text[6:-1]))
+    if text.startswith("struct<"):
+        return T.StructType([T.StructField(*(n, kind(k))) for n, k in (p.split(": ", 1) for p in parts(text[7:-1]))])
+    return PLAIN[text]
+
+
 AUTHOR = "struct<given_name: string, family_name: string, full_name: string, affiliation: string, orcid: string, email: string>"
 CITATION = "struct<doi: string, title: string, year: int, author: string, direction: string, confidence: double>"
 SCREENING = (
@@ -24,7 +48,7 @@ SCREENING = (
     " relevance_scoring: struct<relevance: double, confidence: double, justification: string>,"
     " final_decision: string, final_decision_by: string>"
 )
-PAPER = T._parse_datatype_string(
+FIELDS = (
     "ord long, id string, cite_key string, source_key string, doi string, isbn string, issn string, url string, duplicate_of string,"
     f" title string, abstract string, keywords array<string>, authors array<{AUTHOR}>, year int, journal string, journal_acronym string, journal_iso4 string,"
     " booktitle string, publisher string, paper_type string, volume string, issue string, number string, pages string, language string,"
@@ -32,6 +56,7 @@ PAPER = T._parse_datatype_string(
     f" screening {SCREENING}, citations array<{CITATION}>, cited_by array<{CITATION}>, pdf_path string, research_method string,"
     " camo array<struct<context: string, action: string, mechanism: string, outcome: string, confidence: double>>, raw string"
 )
+PAPER = T.StructType([T.StructField(n, kind(k)) for n, k in (p.split(" ", 1) for p in parts(FIELDS))])
 
 
 def conform(df: DataFrame) -> DataFrame:
