@@ -13,7 +13,6 @@ from collections.abc import Iterator, Mapping
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as t
 from ..functions.identifiers import doi_key, doi_stem, parse_authors
@@ -120,10 +119,10 @@ def read_bibtex(spark: SparkSession, paths: str | list[str], source: str | None
     rows = _ordered(rows).withColumn("fields", F.struct(*(F.element_at("all_fields", f).alias(f) for f in FIELDS)))
     file_name = F.lower(F.element_at(F.split("path", "/"), -1))
     found = F.lit(source) if source else F.coalesce(*(F.when(file_name.contains(s), s) for s in SOURCES), F.lit("bibtex"))
-    kind, sure = paper_type(F.col("kind"), found, overrides, custom)
+    kind, _ = paper_type(F.col("kind"), found, overrides, custom)
     words = F.concat_ws(";", "fields.keyword", "fields.keywords", "fields.author_keywords", F.col("fields")["keywords-plus"])
     need = lambda x, what: F.when(F.coalesce(x, F.lit("")) == "", F.raise_error(F.lit(f"entry without {what}")).cast("string")).otherwise(x)
-    return conform(_papers(rows, need(F.col("key"), "key"), need(F.col("fields.title"), "title"), words, "fields.author", kind, found, method, iteration).withColumn("type_confidence", sure))
+    return conform(_papers(rows, need(F.col("key"), "key"), need(F.col("fields.title"), "title"), words, "fields.author", kind, found, method, iteration))
 
 
 def _papers(rows: DataFrame, key, title, words, author, kind, source, method, iteration) -> DataFrame:
@@ -170,8 +169,8 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], strict: bool = False
 
 
 def bad_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    wide = T.StructType([*PAPER.fields, T.StructField("_corrupt_record", T.StringType())])
-    return spark.read.schema(wide).option("columnNameOfCorruptRecord", "_corrupt_record").json(paths).where("_corrupt_record is not null").select("_corrupt_record")
+    """The lines that aren't JSON."""
+    return spark.read.text(paths).where("trim(value) <> '' and try_parse_json(value) is null")
 
 
 def read_json(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -31,7 +31,7 @@ def select_for_export(df: DataFrame, doi: str = "only", duplicates: str = "no",
 
 
 def bibtex_line(c: str, value: Column) -> Column:
-    return F.concat(F.lit(f"  {c} = {{"), F.regexp_replace(value.cast("string"), r"(?<!\\)&", r"\\\\&"), F.lit("}"))
+    return F.concat(F.lit(f"  {c} = {{"), F.regexp_replace(value.cast("string"), r"(?<!\\)&", r"\\&"), F.lit("}"))
 
 
 def bibtex(df: DataFrame) -> DataFrame:
