@@ -3,8 +3,10 @@
 Shared by the byte and the word operator. A window of ``width`` units is covered by the
 least hash (minimiser) among the grams in it, so equal windows have equal minimisers.
 
-1. Each document sends its distinct minimisers, six bytes each, packed by bucket; a
-   bucket finds those that two documents share and sends them back by document.
+1. Each document sends its minimisers, six bytes each, packed by bucket; a bucket finds
+   those that two documents share and sends them back by document. Where grams are so
+   short that they repeat by chance, what is sent is the gram with what stands before it
+   and with what stands after it: any window that holds the gram holds one of the two.
 2. Consecutive windows that have one shared minimiser travel as one packed string
    (a super-k-mer) to the minimiser's bucket. Strings are first reduced to distinct
    ones with the least doc_id of each, so a group of copies of any size is one row.
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import partitions, row_key, written
-from .vec import U64, chunks, mix, ranges, window_minima
+from .vec import U64, chunks, mix, ranges, sliding
 
 Split = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 #: (text of all strings, unit offsets of each string's windows ...) -> class of each window
@@ -45,31 +47,69 @@ BUCKETS_A_PARTITION = 16
 @dataclass(frozen=True)
 class Windows:
     """What windows are made of. ``split`` gives (gram hashes, starts, ends, offsets by
-    row) of units; ``classes`` gives, for distinct strings, the class of every window
-    and how many windows each string has; ``sep`` joins units to a string."""
+    row) of units; ``classes`` gives, for distinct strings, the class of every window and
+    how many windows each string has; ``extended``, if given, the hashes of a gram with
+    the ``reach`` units before it and after it."""
 
     width: int
     gram: int
     split: Split
     classes: Classes
     bytes_apart: bool
+    extended: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None
 
+    @property
+    def reach(self) -> int:
+        return (self.width - self.gram) // 2
 
-def minimisers(windows: Windows, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, row, 48-bit minimiser) of each run of windows that
-    share a minimiser; also the units' starts and ends."""
-    grams, starts, ends, rows = windows.split(buf, off)
-    valid, least = window_minima(grams, rows, windows.width, windows.gram)
-    at = np.flatnonzero(valid)
-    if not len(at):
+
+@dataclass
+class Runs:
+    """Runs of windows with one minimiser: first and last window, row, the minimiser, and
+    the names (two for each run, 0 for none) under which runs are looked up."""
+
+    first: np.ndarray
+    last: np.ndarray
+    row: np.ndarray
+    h: np.ndarray
+    names: np.ndarray
+    rows: np.ndarray
+
+
+POSITION_BITS = 26
+LOW48 = U64((1 << 48) - 1)
+
+
+def minimisers(windows: Windows, buf: np.ndarray, off: np.ndarray) -> Runs:
+    """A window's minimiser is the leftmost of the grams with its least hash."""
+    grams, _, _, rows = windows.split(buf, off)
+    n, span = int(rows[-1]), windows.width - windows.gram + 1
+    if not (np.diff(rows) >= windows.width).any():
         none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, U64), rows
-    value = least[at]
-    new = np.ones(len(at), bool)
-    new[1:] = (value[1:] != value[:-1]) | (at[1:] != at[:-1] + 1)
-    begin = np.flatnonzero(new)
-    first, last = at[begin], at[np.append(begin[1:], len(at)) - 1]
-    return first, last, np.searchsorted(rows, first, "right") - 1, mix(value[begin]) & U64((1 << 48) - 1), rows
+        return Runs(none, none, none, np.zeros(0, U64), np.zeros((0, 2), U64), rows)
+    low = U64((1 << POSITION_BITS) - 1)
+    least = sliding((grams & ~low) | (np.arange(len(grams), dtype=U64) & low), span, np.minimum)
+    new = np.zeros(n, bool)
+    np.not_equal(least[1:], least[:-1], out=new[1 : len(least)])
+    tops = rows[1:] - windows.width  # each row's last window
+    for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
+        new[max(a, b - windows.width + 1) : b] = False
+        if b - a >= windows.width:
+            new[a] = True
+    first = np.flatnonzero(new)
+    row = np.searchsorted(rows, first, "right") - 1
+    last = np.minimum(np.append(first[1:], n) - 1, tops[row])
+    at = first + ((least[first] - first.astype(U64)) & low).astype(np.int64)
+    h = mix(grams[at]) & LOW48
+    names = np.zeros((len(at), 2), U64)
+    if windows.extended is None:
+        names[:, 0] = h
+    else:
+        before, after = at - windows.reach >= rows[row], at + windows.gram + windows.reach <= rows[row + 1]
+        left, right = windows.extended(buf, at)
+        names[:, 0] = np.where(before, mix(left ^ h) & LOW48, U64(0))
+        names[:, 1] = np.where(after, mix(right + h) & LOW48, U64(0))
+    return Runs(first, last, row, h, names, rows)
 
 
 def _six(h: np.ndarray) -> bytes:
@@ -83,13 +123,15 @@ def _from_six(raw: bytes) -> np.ndarray:
 
 
 def shared_minimisers(base: DataFrame, windows: Windows, buckets: int) -> DataFrame:
-    """doc_id, hashes: the minimisers that each document shares with another."""
+    """doc_id, hashes: the names of minimisers that each document shares with another."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for a, _, buf, off in chunks(batch):
-                _, _, row, h, _ = minimisers(windows, buf, off)
+                runs = minimisers(windows, buf, off)
+                row, h = np.repeat(runs.row, 2), runs.names.ravel()
+                row, h = row[h > 0], h[h > 0]
                 if not len(h):
                     continue
                 bucket = (h % U64(buckets)).astype(np.int64)
@@ -105,12 +147,11 @@ def shared_minimisers(base: DataFrame, windows: Windows, buckets: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[edge].astype(np.int32)), pa.array(keys, pa.binary()), pa.array(counts, pa.binary()), pa.array(hashes, pa.binary())], names=["bucket", "ids", "counts", "hashes"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, value, buckets = [], [], []
+        doc, value = [], []
         for batch in batches:
-            for k, ids, counts, hashes in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            for ids, counts, hashes in zip(*(batch.column(c).to_pylist() for c in range(1, 4)), strict=True):
                 doc.append(np.repeat(np.frombuffer(ids, "<i8"), np.frombuffer(counts, "<u4")))
                 value.append(_from_six(hashes))
-                buckets.append((k, len(value[-1])))
         if not value:
             return
         docs, h = np.concatenate(doc), np.concatenate(value)
@@ -131,26 +172,28 @@ def shared_minimisers(base: DataFrame, windows: Windows, buckets: int) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(docs[edge[part.start : part.stop]]), pa.array([_six(np.unique(h[edge[i] : ends[i]])) for i in part], pa.binary())], names=["doc_id", "hashes"])
 
     sent = base.select("doc_id", "text").where("doc_id is not null").mapInArrow(send, "bucket int, ids binary, counts binary, hashes binary")
-    met = sent.repartition(partitions(base.sparkSession), "bucket").mapInArrow(meet, "doc_id long, hashes binary")
+    met = sent.repartition(buckets, "bucket").mapInArrow(meet, "doc_id long, hashes binary")
     return met.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
 
 
-def super_kmers(base: DataFrame, shared: DataFrame, copies: DataFrame, windows: Windows, buckets: int) -> DataFrame:
-    """bucket, string, rid, doc_id, start, n: runs of windows with a shared minimiser."""
+def super_kmers(base: DataFrame, shared: DataFrame, copies: DataFrame, windows: Windows) -> DataFrame:
+    """h, digest, string, rid, doc_id, start, n: runs of windows with a shared minimiser h.
+    The minimiser and the digest, 112 bits, name the string from here on."""
+    import xxhash
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rids, ids = batch.column(0), batch.column(1)
             lists = batch.column(3)
             for a, b, buf, off in chunks(batch):
-                first, last, row, h, rows = minimisers(windows, buf, off)
+                runs = minimisers(windows, buf, off)
                 sets = [np.concatenate([_from_six(x.as_py()) for x in lists[r].values]) for r in range(a, b)]
                 owner = np.repeat(np.arange(b - a), [len(s) for s in sets]).astype(U64)
                 wanted = np.sort(mix(np.concatenate(sets) ^ (owner << U64(48))))
-                mine = mix(h ^ (row.astype(U64) << U64(48)))
+                mine = mix(runs.names ^ (runs.row.astype(U64) << U64(48))[:, None])
                 at = np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)
-                keep = np.flatnonzero(wanted[at] == mine) if len(wanted) and len(mine) else np.zeros(0, np.int64)
-                first, last, row, h = first[keep], last[keep], row[keep], h[keep]
+                keep = np.flatnonzero(((wanted[at] == mine) & (runs.names > 0)).any(1)) if len(wanted) and len(mine) else np.zeros(0, np.int64)
+                first, last, row, h, rows = runs.first[keep], runs.last[keep], runs.row[keep], runs.h[keep], runs.rows
                 n = last - first + windows.width
                 if windows.bytes_apart:
                     raw = buf.tobytes()
@@ -161,16 +204,19 @@ def super_kmers(base: DataFrame, shared: DataFrame, copies: DataFrame, windows:
                     strings = [b" ".join(words[r][x : x + k]) for r, x, k in zip(row.tolist(), local, n.tolist(), strict=True)]
                 which = pa.array(a + row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((h % U64(buckets)).astype(np.int32)), pa.array(strings, pa.binary()), rids.take(which), ids.take(which), pa.array((first - rows[row]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["bucket", "string", "rid", "doc_id", "start", "n"],
+                    [pa.array(h.astype(np.int64)), pa.array(np.array([xxhash.xxh3_64_intdigest(x) for x in strings], U64).view(np.int64)), pa.array(strings, pa.binary()), rids.take(which), ids.take(which), pa.array((first - rows[row]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                    names=["h", "digest", "string", "rid", "doc_id", "start", "n"],
                 )
 
-    fresh = base.where("doc_id is not null").join(shared, "doc_id").select("rid", "doc_id", "text", "hashes").join(copies, "rid", "left_anti")
-    return fresh.mapInArrow(cut, "bucket int, string binary, rid long, doc_id long, start int, n int")
+    # rows that are copies are named beside the hashes, so that the text is dealt out once
+    gone = copies.groupBy("doc_id").agg(F.collect_list("rid").alias("gone"))
+    wanted = shared.join(gone, "doc_id", "left")
+    fresh = base.where("doc_id is not null").join(wanted, "doc_id").where("gone is null or not array_contains(gone, rid)")
+    return fresh.select("rid", "doc_id", "text", "hashes").mapInArrow(cut, "h long, digest long, string binary, rid long, doc_id long, start int, n int")
 
 
 def marked_strings(strings: DataFrame, windows: Windows) -> DataFrame:
-    """string, least, runs: in each distinct string, the stretches (pairs of 32-bit
+    """h, digest, least, runs: in each distinct string, the stretches (pairs of 32-bit
     unit numbers) covered by windows that also start in a smaller document than least."""
     spark = strings.sparkSession
 
@@ -193,26 +239,30 @@ def marked_strings(strings: DataFrame, windows: Windows) -> DataFrame:
         """One bucket at a time; the rows come ordered by bucket."""
         held: list[bytes] = []
         least: list[int] = []
+        names: list[tuple[int, int]] = []
         at = -1
 
         def flush() -> pa.RecordBatch:
             out = mark(held, np.array(least, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array(least, pa.int64()), pa.array(out, pa.binary())], names=["string", "least", "runs"])
+            h, digest = zip(*names, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(digest, pa.int64()), pa.array(least, pa.int64()), pa.array(out, pa.binary())], names=["h", "digest", "least", "runs"])
 
         for batch in batches:
-            for bucket, string, low in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            for bucket, h, digest, string, low in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
                 if bucket != at and held:
                     yield flush()
-                    held, least = [], []
+                    held, least, names = [], [], []
                 at = bucket
                 held.append(string)
                 least.append(low)
+                names.append((h, digest))
         if held:
             yield flush()
 
-    distinct = strings.groupBy("bucket", "string").agg(F.min("doc_id").alias("least"))
-    placed = distinct.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
-    return placed.mapInArrow(sort_buckets, "string binary, least long, runs binary")
+    distinct = strings.groupBy("h", "digest", "string").agg(F.min("doc_id").alias("least"))
+    bucket = F.pmod("h", F.lit(partitions(spark) * BUCKETS_A_PARTITION)).cast("int")
+    placed = distinct.select(bucket.alias("bucket"), "h", "digest", "string", "least").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
+    return placed.mapInArrow(sort_buckets, "h long, digest long, least long, runs binary")
 
 
 def covered(docs: DataFrame, windows: Windows) -> DataFrame:
@@ -222,13 +272,14 @@ def covered(docs: DataFrame, windows: Windows) -> DataFrame:
     base = docs.select(row_key("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = base.where("doc_id is not null").select("rid", "doc_id", F.sha2("text", 256).alias("digest"))
     firsts = keyed.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    copies = keyed.join(firsts, "digest").where("doc_id > first").select("rid").distinct()
-    shared = shared_minimisers(base, windows, partitions(spark) * BUCKETS_A_PARTITION)
-    strings = written(super_kmers(base, shared, copies, windows, partitions(spark) * BUCKETS_A_PARTITION), "super-kmers")
-    marked = marked_strings(strings, windows)
-    hits = strings.join(marked, "string").where("doc_id > least or length(runs) > 0")
+    copies = keyed.join(firsts, "digest").where("doc_id > first").select("rid", "doc_id").distinct()
+    shared = shared_minimisers(base, windows, partitions(spark))
+    strings = written(super_kmers(base, shared, copies, windows), "super-kmers", settle=True)
+    marked = written(marked_strings(strings, windows), "marks", settle=True)
+    hits = strings.drop("string").join(marked, ["h", "digest"]).where("doc_id > least or length(runs) > 0")
     marks = hits.groupBy("rid").agg(F.collect_list(F.struct("start", "n", F.when(F.col("doc_id") == F.col("least"), F.col("runs")).alias("runs"))).alias("marks"))
-    return base.join(marks, "rid", "left").join(copies.withColumn("copy", F.lit(True)), "rid", "left").select("rid", "doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "marks")
+    flags = copies.select("rid", F.lit(True).alias("copy"))
+    return base.join(marks, "rid", "left").join(flags, "rid", "left").select("rid", "doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "marks")
 
 
 def coverage(copy: bool, marks: pa.Scalar, units: int, width: int) -> np.ndarray:

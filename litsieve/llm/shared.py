@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,11 +20,18 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write a table to the shared folder and read it back."""
+def written(df: DataFrame, name: str, settle: bool = False) -> DataFrame:
+    """Cut the lineage: write a table to the shared folder and read it back. The shuffle
+    files of what was written are free then; Spark deletes them as the driver collects
+    its garbage, which is asked for here, as a driver with little to do may wait long.
+    With ``settle``, for large shuffles, it is given the time to delete them."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    for _ in range(2 if settle else 1):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7 if settle else 0)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .repeats import Windows, coverage, covered
-from .vec import byte_grams, ranges
+from .vec import U64, byte_grams, mix, ranges
 
 PERIOD = 16
-GRAM_BYTES = 24
+GRAM_BYTES = 16
 
 
 def difference_cover(period: int) -> list[int]:
@@ -103,8 +103,25 @@ def split_bytes(buf: np.ndarray, off: np.ndarray):
     return byte_grams(buf, GRAM_BYTES), None, None, off
 
 
+def extended(reach: int):
+    """Hashes of the ``reach`` (at least 8) bytes before a gram, and of those after it."""
+    offsets = [*range(0, reach - 8, 8), reach - 8]
+
+    def both(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words = np.ndarray((max(0, len(buf) - 7),), "<u8", np.ascontiguousarray(buf), strides=(1,))
+        out = []
+        for start in (at - reach, at + GRAM_BYTES):
+            h = np.zeros(len(at), U64)
+            for k in offsets:
+                h = mix(h * U64(0xA24BAED4963EE407) + words[np.clip(start + k, 0, len(words) - 1)])
+            out.append(h)
+        return out[0], out[1]
+
+    return both
+
+
 def byte_windows(width: int) -> Windows:
-    return Windows(width, GRAM_BYTES, split_bytes, window_classes(width), True)
+    return Windows(width, GRAM_BYTES, split_bytes, window_classes(width), True, extended((width - GRAM_BYTES) // 2))
 
 
 def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:

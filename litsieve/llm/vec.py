@@ -147,22 +147,6 @@ def sliding(x: np.ndarray, width: int, op) -> np.ndarray:
     return out[: max(0, len(x) - width + 1)]
 
 
-def window_minima(grams: np.ndarray, off: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every start of a window of ``window`` units: whether the window lies in
-    one row, and the least gram hash in it. ``grams[i]`` hashes units i..i+gram;
-    ``off`` has the units' row offsets. Both arrays have one entry for each unit."""
-    n = int(off[-1])
-    valid, least = np.zeros(n, bool), np.zeros(n, U64)
-    if n < window:
-        return valid, least
-    sizes = np.diff(off)
-    full = sizes >= window
-    valid[ranges(off[:-1][full], sizes[full] - window + 1)] = True
-    low = sliding(grams[: n - gram + 1], window - gram + 1, np.minimum)
-    least[: len(low)] = low
-    return valid, least
-
-
 def byte_grams(buf: np.ndarray, length: int) -> np.ndarray:
     """Fingerprints of all byte strings of a length that is a multiple of 8."""
     n = len(buf)
@@ -172,7 +156,11 @@ def byte_grams(buf: np.ndarray, length: int) -> np.ndarray:
     count = n - length + 1
     out = np.zeros(count, U64)
     for k in range(0, length, 8):
-        out = mix(out * U64(0xA24BAED4963EE407) + word[k : k + count])
+        out ^= word[k : k + count]
+        out *= U64(0xA24BAED4963EE407)
+        out ^= out >> U64(29)
+    out *= U64(0xBF58476D1CE4E5B9)
+    out ^= out >> U64(32)
     return out
 
 
