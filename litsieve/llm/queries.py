@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import byte_bpe, decontamination, hash_forest, language_id, license_scan, near_dedup, substring_dedup, suffix_dedup, token_counts, token_files
+from .oracles import ORACLES
 from .shared import documents
 
 
@@ -59,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
