@@ -189,8 +189,11 @@ def learn(docs: DataFrame, vocabulary_path: str, sample_docs: int = SAMPLE_DOCS)
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(pieces, pa.int32())], names=["lang", "piece"])
 
     labelled = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
+    # the choice is made on ids alone; the sample is small enough to be sent to every scan
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = labelled.select("lang", "doc_id", "text").withColumn("_order", order).where(F.col("_order") <= sample_docs)
+    chosen = labelled.select("lang", "doc_id").withColumn("_order", order).where(F.col("_order") <= sample_docs)
+    chosen = F.broadcast(chosen.select("lang", "doc_id").distinct())  # sample_docs a language
+    sample = labelled.join(chosen, ["lang", "doc_id"], "left_semi")
     counts = sample.select("lang", "text").mapInArrow(count, "lang string, piece int").groupBy("lang", "piece").count().collect()
     langs = sorted({r["lang"] for r in counts})
     vocabulary = Vocabulary(vocabulary_path)

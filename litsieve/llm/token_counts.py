@@ -121,7 +121,10 @@ def distinct_words(docs: DataFrame, path: str) -> DataFrame:
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, hot: int = HOT) -> DataFrame:
     """Per row: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
     table = distinct_words(docs, path)
-    top = table.orderBy(F.desc("n"), "word").limit(hot).toPandas()
+    total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # words of at least one in 16 * hot occurrences: there can't be more of them than that
+    often = table.where(F.col("n") * (16 * hot) >= total)
+    top = often.orderBy(F.desc("n"), "word").limit(hot).toPandas()
     blob = b"".join(top["word"])
     top_ends = np.cumsum([len(w) for w in top["word"]], dtype=np.int64)
     top_starts = top_ends - [len(w) for w in top["word"]] if len(top) else top_ends
