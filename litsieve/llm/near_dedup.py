@@ -4,15 +4,20 @@ A document's set is its distinct word shingles (64-bit fingerprints). Rows with
 sets are one class from the start. Each class gets one signature: a shingle's top bits
 name its bin and the least shingle of a bin is the bin's value; an empty bin borrows
 the value of a full one, found by a universal hash of bin and attempt. Bands of bins
-are buckets. A bucket's least class is its centre and the others its rays, so a bucket
+are buckets. A bucket's centre is the class that meets most others over all its buckets
+(an original rather than one of its variants), and the others are its rays, so a bucket
 of n classes gives n - 1 candidate pairs, and each pair is confirmed on the full sets.
 
 Rays that their centre didn't bring into one component may still be linked with each
-other: as long as a bucket holds several components, the round is repeated in it with the
-next centres, against the members of other components. A bucket is settled when all its
-members are in one component, or all members outside its largest component were centres.
-Small buckets (``SMALL`` classes) have all their classes as centres at once. So every
-pair that shares a bucket is either compared or already connected.
+other, in large buckets that hold several components (small ones, of up to ``SMALL``
+classes, compare all their members at once). For the members of these buckets the
+shingles are counted that no other of them has: such shingles can't be shared, so they
+bound the similarity of every pair exactly, and members that can't reach the threshold
+with anything drop out. As long as a bucket then holds several components, the round is
+repeated in it with the next centres, against the members of other components that the
+bounds allow. A bucket is settled when all its members are in one component, or all
+members outside its largest component were centres. So every pair that shares a bucket
+is compared, connected already, or out of reach by its bounds.
 
 Components are found on the cluster by hooking to the least neighbour and pointer
 jumping; nothing but counts goes to the driver.
@@ -40,7 +45,7 @@ BANDS = 42
 ROWS = 6
 SMALL = 6
 #: Further centres of a bucket in one round.
-CENTRES = 16
+CENTRES = 512
 ATTEMPTS = 64
 
 
@@ -135,6 +140,21 @@ def bucket_rows(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(rows, "bucket long, id long, n int")
 
 
+def own_shingles(texts: DataFrame, size: int) -> DataFrame:
+    """id, own: how many shingles a class has that none of the others here has."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, b, buf, off in chunks(batch):
+                sets = shingle_sets(buf, off, size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[a:b], [len(s) for s in sets])), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "shingle"])
+
+    each = texts.select("id", "text").mapInArrow(rows, "id long, shingle long")
+    once = each.groupBy("shingle").agg(F.count("*").alias("classes"), F.min("id").alias("id")).where("classes = 1")
+    return once.groupBy("id").agg(F.count("*").cast("int").alias("own"))
+
+
 def set_rows(texts: DataFrame, size: int) -> DataFrame:
     """id and its set as bytes."""
 
@@ -190,35 +210,59 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def similar(x: str, y: str, percent: int) -> str:
+    """Sizes of sets that may reach the threshold."""
+    return f"100L * least({x}, {y}) >= {percent} * greatest({x}, {y})"
+
+
+def meetings(keyed: DataFrame) -> DataFrame:
+    """bucket, id, n, members, key, centre, nc of all buckets of several classes. The
+    order of keys is that of centres: who meets most others comes first."""
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    shared = written(keyed.join(written(sizes, "sizes"), "bucket"), "shared")
+    popular = written(shared.groupBy("id").agg(F.sum("members").alias("met")), "popular")
+    met = written(shared.join(popular, "id").select("bucket", "id", "n", "members", F.struct((-F.col("met")).alias("rank"), "id", "n").alias("key")), "members")
+    heads = written(met.groupBy("bucket").agg(F.min("key").alias("head")), "heads")
+    return written(met.join(heads, "bucket").select("bucket", "id", "n", "members", "key", F.col("head.id").alias("centre"), F.col("head.n").alias("nc")), "members")
+
+
+def several(left: DataFrame, label: DataFrame) -> DataFrame:
+    """left (bucket, id, ...) with component, in buckets with several components only."""
+    seen = written(left.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")), "seen")
+    mixed = seen.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket")
+    return seen.join(written(mixed, "mixed"), "bucket")
+
+
 def linked_classes(texts: DataFrame, size: int, percent: int) -> DataFrame:
     """id, component of the classes (id, text) that are linked with another."""
-    keyed = written(bucket_rows(texts, size), "bands")
-    # buckets of one class say nothing
-    many = keyed.groupBy("bucket").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("head")).where("members > 1")
-    many = written(many.select("bucket", "members", F.col("head.id").alias("centre"), F.col("head.n").alias("nc")), "buckets")
-    met = written(keyed.join(many, "bucket"), "members")
-    similar = lambda x, y: f"100L * least({x}, {y}) >= {percent} * greatest({x}, {y})"
-    rays = met.where("id <> centre").where(similar("n", "nc")).select(F.col("centre").alias("a"), F.col("id").alias("b"))
+    met = meetings(written(bucket_rows(texts, size), "bands"))
+    rays = met.where("id <> centre").where(similar("n", "nc", percent)).select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b"))
     small = met.where(f"members > 2 and members <= {SMALL} and id <> centre").select("bucket", "id", "n")
     others = small.select("bucket", F.col("id").alias("a"), F.col("n").alias("na"))
-    mesh = small.join(others, "bucket").where("a < id").where(similar("n", "na")).select("a", F.col("id").alias("b"))
+    mesh = small.join(others, "bucket").where("a < id").where(similar("n", "na", percent)).select("a", F.col("id").alias("b"))
     pairs = written(rays.union(mesh).distinct(), "pairs")
     links = confirmed(pairs, touched_sets(texts, pairs, size), percent)
     label = components(links)
-    # large buckets that still hold several components
-    left = met.where(f"members > {SMALL}").select("bucket", "id", "n", (F.col("id") == F.col("centre")).alias("done"))
+    # large buckets that hold several components, without members that can't be linked
+    large = met.where(f"members > {SMALL}").select("bucket", "id", "n", "key", (F.col("id") == F.col("centre")).alias("done"))
+    left = written(several(large, label).select("bucket", "id", "n", "key", "done"), "left")
+    if left.isEmpty():
+        return label
+    own = written(own_shingles(texts.join(left.select("id").distinct(), "id", "left_semi"), size), "own")
+    left = left.join(own, "id", "left").select("bucket", "id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m"), "key", "done")
+    left = written(left.where(f"100L * m >= {percent} * n"), "left")
     while True:
-        seen = left.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        parts = written(seen.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.min(F.when(~F.col("done"), F.struct("id", "n"))).alias("next")), "parts")
+        seen = several(left, label)
+        parts = written(seen.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.min(F.when(~F.col("done"), F.struct("key", "m"))).alias("next")), "parts")
         largest = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("of")).where("of > 1")
         waiting = parts.join(largest, "bucket").where("component <> top.component and next is not null")
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("next"))
-        heads = waiting.select("bucket", F.col("component").alias("ca"), F.col("next.id").alias("a"), F.col("next.n").alias("na"), rank.alias("rank")).where(f"rank <= {CENTRES}")
+        heads = waiting.select("bucket", F.col("component").alias("ca"), F.col("next.key.id").alias("a"), F.col("next.key.n").alias("na"), F.col("next.m").alias("ma"), rank.alias("rank")).where(f"rank <= {CENTRES}")
         heads = written(heads, "centres")
         if heads.isEmpty():
             return label
         live = written(seen.join(heads.select("bucket").distinct(), "bucket", "left_semi"), "live")
-        new = live.join(heads, "bucket").where("component <> ca").where(similar("n", "na")).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+        new = live.join(heads, "bucket").where("component <> ca").where(f"100L * least(m, ma) >= {percent} * (n + na - least(m, ma))").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         new = written(new.join(pairs, ["a", "b"], "left_anti"), "pairs")
         pairs = pairs.unionByName(new)
         if not new.isEmpty():
@@ -227,7 +271,7 @@ def linked_classes(texts: DataFrame, size: int, percent: int) -> DataFrame:
                 links = links.unionByName(fresh)
                 label = components(links)
         heads = heads.select("bucket", F.col("a").alias("id"), F.lit(True).alias("now"))
-        left = live.join(heads, ["bucket", "id"], "left").select("bucket", "id", "n", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
+        left = live.join(heads, ["bucket", "id"], "left").select("bucket", "id", "n", "m", "key", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
