@@ -163,17 +163,33 @@ def shared_minimisers(base: DataFrame, windows: Windows, buckets: int) -> DataFr
         many = np.repeat(low != high, np.diff(np.append(edge, len(h))))
         keep = order[many]
         docs, h = docs[keep], h[keep]
+        # one row for each partition of documents, not for each document
+        target = (mix(docs.astype(U64)) % U64(buckets)).astype(np.int64)
+        order = np.argsort(target, kind="stable")
+        target, docs, h = target[order], docs[order], h[order]
+        edge = np.flatnonzero(np.append(True, target[1:] != target[:-1])) if len(target) else np.zeros(0, np.int64)
+        for x, y in zip(edge.tolist(), np.append(edge[1:], len(target)).tolist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([target[x]], pa.int32()), pa.array([docs[x:y].astype("<i8").tobytes()], pa.binary()), pa.array([_six(h[x:y])], pa.binary())], names=["target", "ids", "hashes"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, hashes = [], []
+        for batch in batches:
+            ids += [np.frombuffer(x.as_buffer(), "<i8") for x in batch.column(1)]
+            hashes += [_from_six(x.as_py()) for x in batch.column(2)]
+        if not ids:
+            return
+        docs, h = np.concatenate(ids), np.concatenate(hashes)
         order = np.lexsort((h, docs))
         docs, h = docs[order], h[order]
-        edge = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else np.zeros(0, np.int64)
+        edge = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
         ends = np.append(edge[1:], len(docs))
         for k in range(0, len(edge), 10_000):
             part = range(k, min(k + 10_000, len(edge)))
             yield pa.RecordBatch.from_arrays([pa.array(docs[edge[part.start : part.stop]]), pa.array([_six(np.unique(h[edge[i] : ends[i]])) for i in part], pa.binary())], names=["doc_id", "hashes"])
 
     sent = base.select("doc_id", "text").where("doc_id is not null").mapInArrow(send, "bucket int, ids binary, counts binary, hashes binary")
-    met = sent.repartition(buckets, "bucket").mapInArrow(meet, "doc_id long, hashes binary")
-    return met.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
+    met = sent.repartition(buckets, "bucket").mapInArrow(meet, "target int, ids binary, hashes binary")
+    return met.repartition(buckets, "target").mapInArrow(gather, "doc_id long, hashes binary")
 
 
 def super_kmers(base: DataFrame, shared: DataFrame, copies: DataFrame, windows: Windows) -> DataFrame:
@@ -187,7 +203,7 @@ def super_kmers(base: DataFrame, shared: DataFrame, copies: DataFrame, windows:
             lists = batch.column(3)
             for a, b, buf, off in chunks(batch):
                 runs = minimisers(windows, buf, off)
-                sets = [np.concatenate([_from_six(x.as_py()) for x in lists[r].values]) for r in range(a, b)]
+                sets = [_from_six(lists[r].as_py()) for r in range(a, b)]
                 owner = np.repeat(np.arange(b - a), [len(s) for s in sets]).astype(U64)
                 wanted = np.sort(mix(np.concatenate(sets) ^ (owner << U64(48))))
                 mine = mix(runs.names ^ (runs.row.astype(U64) << U64(48))[:, None])
