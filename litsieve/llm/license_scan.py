@@ -1,11 +1,12 @@
 """License scans by conditional compression.
 
 Lines that hold a word of licences are taken as candidate blocks (neighbouring ones as
-one). A block is compressed by itself and with each template as a raw zstandard
-dictionary; templates are ranked by how much smaller they make it. The best ones are then
-confirmed by wording: the block's and the template's words are aligned, and a template
-holds if nearly all its words occur in order and all the words that tell it from its
-relatives (name, version, clause) do. What differs is returned as text.
+one). Every template whose words can be there is confirmed by wording: the block's and the
+template's words are aligned, and a template holds if nearly all its words occur in order
+and all the words that tell it from its relatives (name, version, clause) do. The aligned
+stretch is compressed by itself and with the template as a raw zstandard dictionary;
+the template that makes it smaller by most bytes is a match, its stretch is taken out, and
+the rest of the block is looked at again. What differs is returned as text.
 
 Defined cases: null and empty texts have no blocks; a text of any length is scanned
 whole, line by line, and a line longer than ``LONGEST`` is cut around its licence words;
@@ -16,6 +17,7 @@ columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import cache
@@ -25,12 +27,14 @@ from pyspark.sql import DataFrame
 
 LONGEST = 4096
 LONG_LINE = 400
-#: How many of the best templates are compared word by word.
-CONFIRM = 4
 WORDING = 0.8
+#: Words that are looked at together; a notice of up to half of them, with whatever words
+#: are put between, is whole in one.
+WINDOW = 512
 TRIGGER = re.compile(r"licen[sc]|copyright|\bspdx\b|public domain|permission is hereby|redistribution and use|without warrant|\bas is\b|creative ?commons|\bcc[ -](?:by|0)|\bgpl\b|\blgpl\b|all rights reserved|free software", re.IGNORECASE)
 SENTENCE = re.compile(r"[.!?]\s+(?=[A-Z\W])")
 WORD = re.compile(r"\w+(?:\.\w+)*")
+CONJUNCTION = re.compile(r"[\s,;(]*(?:(?:and/or|and|or)\b|[/+&])", re.IGNORECASE)
 
 #: Public licence notices: id, the words that must occur, the notice.
 TEMPLATES = [
@@ -88,6 +92,11 @@ def template_words() -> list[list[str]]:
     return [words(t) for _, _, t in TEMPLATES]
 
 
+@cache
+def template_counts() -> list[Counter]:
+    return [Counter(t) for t in template_words()]
+
+
 def blocks(text: str) -> list[tuple[int, int]]:
     """(start, end) of the lines with licence words; touching lines are one block."""
     out: list[list[int]] = []
@@ -110,46 +119,100 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def compare(block: list[str], template: list[str]) -> tuple[float, list[str], list[str]]:
+def compare(matches: list, block: list[str], template: list[str]) -> tuple[float, list[str], list[str]]:
     """(share of the template's words in order, words it lacks, block words between)."""
-    match = SequenceMatcher(None, template, block, autojunk=False)
-    same = [m for m in match.get_matching_blocks() if m.size]
-    kept = {k for m in same for k in range(m.a, m.a + m.size)}
+    kept = {k for m in matches for k in range(m.a, m.a + m.size)}
+    used = {k for m in matches for k in range(m.b, m.b + m.size)}
     lacking = [w for k, w in enumerate(template) if k not in kept]
-    inside = range(same[0].b, same[-1].b + same[-1].size) if same else range(0)
-    used = {k for m in same for k in range(m.b, m.b + m.size)}
-    return len(kept) / len(template), lacking, [block[k] for k in inside if k not in used]
+    return len(kept) / len(template), lacking, [block[k] for k in range(matches[0].b, matches[-1].b + matches[-1].size) if k not in used]
 
 
-def classify(text: str) -> tuple[str, float, float, str] | None:
-    """(licence, relative gain, wording, differences) of a block, if any holds."""
-    raw = text.encode()
-    alone, *each = (len(c.compress(raw)) for c in compressors())
-    ranked = sorted(range(len(TEMPLATES)), key=lambda k: each[k])[:CONFIRM]
-    found = words(text)
-    for k in ranked:
-        name, needed, _ = TEMPLATES[k]
-        if each[k] >= alone:
-            break
-        share, lacking, more = compare(found, template_words()[k])
-        if share >= WORDING and not set(needed) & set(lacking) and not TELLING & set(more):
-            changes = " ".join([*("-" + w for w in lacking), *("+" + w for w in more)])
-            return name, (alone - each[k]) / alone, share, changes
+def dense(matches: list) -> list:
+    """The neighbouring matches with the most words, less half the words between them."""
+    best, total, first = (0.0, 0, 0), 0.0, 0
+    for k, m in enumerate(matches):
+        gap = (m.b - matches[k - 1].b - matches[k - 1].size) / 2 if k else 0
+        if total <= gap:
+            total, first = 0.0, k
+        else:
+            total -= gap
+        total += m.size
+        if total > best[0]:
+            best = (total, first, k + 1)
+    return matches[best[1] : best[2]]
+
+
+def stretch(block: list[str], have: Counter, k: int) -> tuple[int, int, float, list[str], list[str]] | None:
+    """(first word, word after the last, wording, words lacking, words between) where
+    template k holds. Every notice holds all needed words, so the surroundings of each
+    place of the rarest are aligned, then the whole block."""
+    needed, template = TEMPLATES[k][1], template_words()[k]
+    if any(w not in have for w in needed) or sum(min(n, have[w]) for w, n in template_counts()[k].items()) < WORDING * len(template):
+        return None
+    rarest, near = min(needed, key=lambda w: have[w]), 2 * len(template) + 40
+    places = [(max(0, x - near), x + near) for x, w in enumerate(block) if w == rarest]
+    for a, b in [*places, (0, len(block))]:
+        part = block[a:b]
+        matches = [m for m in SequenceMatcher(None, template, part, autojunk=False).get_matching_blocks() if m.size]
+        for chosen in (dense(matches), matches) if matches else ():
+            share, lacking, more = compare(chosen, part, template)
+            if share >= WORDING and not set(needed) & set(lacking) and not TELLING & set(more):
+                return a + chosen[0].b, a + chosen[-1].b + chosen[-1].size, share, lacking, more
     return None
 
 
+def notices(text: str) -> list[tuple[int, int, str, float, float, str]]:
+    """(start, end, licence, relative gain, wording, differences) of all notices in a
+    block. The one that its template makes smaller by most bytes is taken out, and the rest
+    is looked at again until none holds. Before a conjunction its opening words stay, for
+    the licence named next."""
+    plain, *each = compressors()
+    rest = [(m.group().lower(), m.start(), m.end()) for m in WORD.finditer(text)]
+    out, at = [], 0
+    while at < len(rest):
+        part = rest[at : at + WINDOW]
+        block = [w for w, _, _ in part]
+        have, best = Counter(block), None
+        for k in range(len(TEMPLATES)):
+            if found := stretch(block, have, k):
+                raw = text[part[found[0]][1] : part[found[1] - 1][2]].encode()
+                alone = len(plain.compress(raw))
+                saved = alone - len(each[k].compress(raw))
+                if saved > (best[0] if best else 0):
+                    best = (saved, saved / alone, k, *found)
+        if best is None:
+            if at + WINDOW >= len(rest):
+                break
+            at += WINDOW // 2
+            continue
+        _, gain, k, a, b, share, lacking, more = best
+        name, needed, _ = TEMPLATES[k]
+        changes = " ".join([*("-" + w for w in lacking), *("+" + w for w in more)])
+        out.append((part[a][1], part[b - 1][2], name, gain, share, changes))
+        if CONJUNCTION.match(text, part[b - 1][2]):
+            a = next(x for x in range(a, b) if block[x] in needed)
+        del rest[at + a : at + b]
+    return out
+
+
+def classify(text: str) -> tuple[str, float, float, str] | None:
+    """(licence, relative gain, wording, differences) of a block's first notice taken."""
+    found = notices(text)
+    return found[0][2:] if found else None
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_blocks, n_licenses, licenses (comma-joined, sorted), matches
-    (array of start, end, license, gain, wording, differences)."""
+    (array of start, end, license, gain, wording, differences; the aligned stretch)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             number, matches = [], []
             for text in batch.column(1).to_pylist():
                 cut = blocks(text) if text else []
-                found = [(a, b, classify(text[a:b])) for a, b in cut]
+                found = sorted((a + x, a + y, *f) for a, b in cut for x, y, *f in notices(text[a:b]))
                 number.append(len(cut))
-                matches.append([dict(zip(("start", "end", "license", "gain", "wording", "differences"), (a, b, *f), strict=True)) for a, b, f in found if f])
+                matches.append([dict(zip(("start", "end", "license", "gain", "wording", "differences"), f, strict=True)) for f in found])
             names = [sorted({m["license"] for m in x}) for x in matches]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("license", pa.string()), ("gain", pa.float64()), ("wording", pa.float64()), ("differences", pa.string())]))
             yield pa.RecordBatch.from_arrays(

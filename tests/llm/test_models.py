@@ -122,3 +122,20 @@ def test_license_scan(spark):
     changed = next(m for m in got[6].matches if m.license == "MIT")
     assert "-free" in changed.differences and changed.gain > 0.5
     assert license_scan.scan(frame(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize(("text", "expected"), [
+    ("Released under the MIT License.\nLicensed under the Apache License, Version 2.0.", "Apache-2.0,MIT"),
+    ("Licensed under the MIT License or the Apache License, Version 2.0.", "Apache-2.0,MIT"),
+    ("This work is licensed under the GNU General Public License, version 2, or the MIT license.", "GPL-2.0,MIT"),
+    ("Released under the MIT License. See the MIT license file.", "MIT"),
+])
+def test_license_scan_finds_every_notice_of_a_block(spark, text, expected):
+    (got,) = license_scan.scan(frame(spark, [(1, text)])).collect()
+    assert got.licenses == expected and got.n_licenses == expected.count(",") + 1
+    assert len(got.matches) == got.n_licenses
+
+
+def test_all_templates_in_one_block():
+    found = license_scan.notices("\n".join(t for _, _, t in license_scan.TEMPLATES))
+    assert [f[2] for f in sorted(found)] == [n for n, _, _ in license_scan.TEMPLATES]
