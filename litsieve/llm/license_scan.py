@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
-Lines that hold a word of licences are taken as candidate blocks (neighbouring ones as
-one). Every template whose words can be there is confirmed by wording: the block's and the
+Words of licences are looked for, at least one of each template's, and what is within reach
+of them, over lines and paragraphs, is a candidate block (those that meet are one). Every template whose words can be there is confirmed by wording: the block's and the
 template's words are aligned, and a template holds if nearly all its words occur in order
 and all the words that tell it from its relatives (name, version, clause) do. The aligned
 stretch is compressed by itself and with the template as a raw zstandard dictionary;
@@ -9,8 +9,7 @@ the template that makes it smaller by most bytes is a match, its stretch is take
 the rest of the block is looked at again. What differs is returned as text.
 
 Defined cases: null and empty texts have no blocks; a text of any length is scanned
-whole, line by line, and a line longer than ``LONGEST`` is cut around its licence words;
-equal gains go to the template first in order; repeated rows each get a row; other
+whole, whatever its lines; equal gains go to the template first in order; repeated rows each get a row; other
 columns are not read.
 """
 
@@ -25,14 +24,13 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-LONGEST = 4096
-LONG_LINE = 400
 WORDING = 0.8
 #: Words that are looked at together; a notice of up to half of them, with whatever words
 #: are put between, is whole in one.
 WINDOW = 512
-TRIGGER = re.compile(r"licen[sc]|copyright|\bspdx\b|public domain|permission is hereby|redistribution and use|without warrant|\bas is\b|creative ?commons|\bcc[ -](?:by|0)|\bgpl\b|\blgpl\b|all rights reserved|free software", re.IGNORECASE)
-SENTENCE = re.compile(r"[.!?]\s+(?=[A-Z\W])")
+#: Between the words of a phrase: also a line's end and the next one's comment mark.
+GAP = r"[\W_]{1,16}"
+COMMON = ["licen[sc]", "copyright", r"\bspdx\b", f"public{GAP}domain", f"permission{GAP}is{GAP}hereby", f"redistribution{GAP}and{GAP}use", f"without{GAP}warrant", rf"\bas{GAP}is\b", f"creative(?:{GAP})?commons", rf"\bcc{GAP}(?:by|0)", r"\bl?gpl\b", f"all{GAP}rights{GAP}reserved", f"free{GAP}software"]
 WORD = re.compile(r"\w+(?:\.\w+)*")
 CONJUNCTION = re.compile(r"[\s,;(]*(?:(?:and/or|and|or)\b|[/+&])", re.IGNORECASE)
 
@@ -70,6 +68,11 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", ("commons", "noncommercial", "4.0"), "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("Proprietary", ("all", "rights", "reserved"), "Copyright (c) the authors. All rights reserved."),
 ]
+#: The common triggers, and the first three words of templates that have none of them.
+TRIGGER = re.compile("|".join([*COMMON, *(GAP.join(t.lower().split()[:3]) for _, _, t in TEMPLATES if not re.search("|".join(COMMON), t, re.IGNORECASE))]), re.IGNORECASE)
+#: Characters on either side of a trigger that belong to its block: a notice of the longest
+#: template's length with as much again for what is put between.
+REACH = 2 * max(len(t) for _, _, t in TEMPLATES)
 #: Words that mark another licence than a template that lacks them.
 TELLING = {"mit", "isc", "apache", "bsd", "lesser", "affero", "mozilla", "eclipse", "cc0", "nc", "nd", "sa", "noncommercial", "sharealike", "noderivatives", "later"}
 
@@ -98,21 +101,16 @@ def template_counts() -> list[Counter]:
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the lines with licence words; touching lines are one block."""
+    """(start, end) of the words within reach of triggers; where these meet they are one
+    block."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
-        if out and m.start() < out[-1][1]:
-            continue
-        a = text.rfind("\n", max(0, m.start() - LONGEST), m.start()) + 1
-        a = a or max(0, m.start() - LONGEST)
-        b = text.find("\n", m.end(), m.end() + LONGEST)
-        b = b if b >= 0 else min(len(text), m.end() + LONGEST)
-        if b - a > LONG_LINE:  # the sentence that holds the word
-            stops = [x.end() for x in SENTENCE.finditer(text, a, m.start())]
-            a = stops[-1] if stops else a
-            stop = SENTENCE.search(text, m.end(), b)
-            b = stop.start() + 1 if stop else b
-        if out and a <= out[-1][1] + 1:
+        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+        while 0 < a < m.start() and not text[a - 1].isspace():
+            a += 1
+        while m.end() < b < len(text) and not text[b].isspace():
+            b -= 1
+        if out and a <= out[-1][1]:
             out[-1][1] = max(b, out[-1][1])
         else:
             out.append([a, b])

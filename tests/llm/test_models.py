@@ -1,5 +1,6 @@
 import math
 import random
+import textwrap
 
 import numpy as np
 import public_tokenizers as public
@@ -139,3 +140,42 @@ def test_license_scan_finds_every_notice_of_a_block(spark, text, expected):
 def test_all_templates_in_one_block():
     found = license_scan.notices("\n".join(t for _, _, t in license_scan.TEMPLATES))
     assert [f[2] for f in sorted(found)] == [n for n, _, _ in license_scan.TEMPLATES]
+
+
+@pytest.mark.parametrize("name", sorted({n for n, _, _ in license_scan.TEMPLATES}))
+def test_wrapped_notices(name):
+    prose = "The rain went on for days and nobody in the town knew when it would end. " * 40
+    for template in (t for n, _, t in license_scan.TEMPLATES if n == name):
+        for width in (20, 40, 80, 10_000):
+            for mark in ("", "# ", " * "):
+                lines = textwrap.wrap(template, width, initial_indent=mark, subsequent_indent=mark, break_long_words=False, break_on_hyphens=False)
+                text = "\n".join([prose, *lines, prose])
+                found = [f for a, b in license_scan.blocks(text) for f in license_scan.notices(text[a:b])]
+                assert [(f[2], f[4]) for f in found] == [(name, 1.0)], (template, width, mark)
+
+
+def test_standard_notices():
+    """As they are published, with blank lines within."""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+"""
+    zlib = """Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software. If you use this software
+   in a product, an acknowledgment in the product documentation would be
+   appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+"""
+    isc = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+    for text, name in ((bsd, "BSD"), (zlib, "Zlib"), (isc, "ISC")):
+        assert [f[2] for a, b in license_scan.blocks(text) for f in license_scan.notices(text[a:b])] == [name]
