@@ -2,24 +2,29 @@
 
 A row is a duplicate if it matches an earlier row that is still primary. Similarity
 doesn't depend on what is primary, so the matches are found once, as a static table of
-edges to earlier rows, and then resolved in rounds: a row all of whose earlier matches
-are decided is decided. Candidate pairs come from blocks of rows with a common key; the
+edges to earlier rows, and then resolved in rounds until none is open: a row all of whose
+earlier matches are decided is decided; the last few edges are resolved in order. Candidate pairs come from blocks of rows with a common key; the
 ratio's own upper bounds (lengths, then character counts) discard most of them in the
 JVM before the pairwise comparison.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.identifiers import doi_stem
 from ..functions.text import dedup_title
 
+#: Open edges that the driver resolves at most, a few MB.
+AT_ONCE = 100_000
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
 
@@ -70,16 +75,41 @@ def length_bands(threshold: float) -> list[Column]:
     return [F.concat(F.lit("a"), F.floor(scale).cast("string")), F.concat(F.lit("b"), F.floor(scale + 0.5).cast("string"))]
 
 
-def greedy(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] | None = None, limit: int = 50) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
+    """Cuts the lineage: a table in ``spark.checkpoint.dir``, or in a folder of our own if it
+    is unset."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = f"file://{tempfile.mkdtemp(prefix='litsieve-')}"
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared.rstrip('/')}/dedup-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def in_order(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(ord, target) of open edges, one row after another."""
+    found: dict[int, int] = {}
+    for row, earlier in sorted(edges):  # a row's edges from the least earlier one on
+        if row not in found and earlier not in found:
+            found[row] = earlier
+    return list(found.items())
+
+
+def greedy(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = written, at_once: int = AT_ONCE) -> DataFrame:
     """ord, target: edges to earlier rows resolved first to last. A row is a duplicate of
-    the least earlier row that ends up primary."""
-    cut = cut or (lambda df: df)
-    open_edges, found = edges, None
-    primary = edges.select(F.col("earlier").alias("ord")).distinct().join(edges.select("ord").distinct(), "ord", "left_anti")
-    for _ in range(limit):
+    the least earlier row that ends up primary. Rounds go on until at most ``at_once``
+    edges are open; these are resolved on the driver. ``cut`` must cut the lineage."""
+    open_edges, found = cut(edges.select("ord", "earlier")), None
+    primary = open_edges.select(F.col("earlier").alias("ord")).distinct().join(open_edges.select("ord").distinct(), "ord", "left_anti")
+    rounds = 0
+    while open_edges.count() > at_once:
         hits = open_edges.join(primary.select(F.col("ord").alias("earlier")), "earlier").groupBy("ord").agg(F.min("earlier").alias("target"))
         hits = cut(hits)
         found = hits if found is None else found.unionByName(hits)
+        rounds += 1
+        found = cut(found) if rounds % 16 == 0 else found  # else the plan grows with the rounds
         gone = hits.select("ord")
         # edges from decided rows, and edges to duplicates, say nothing more
         rest = open_edges.join(gone, "ord", "left_anti").join(gone.withColumnRenamed("ord", "earlier"), "earlier", "left_anti").select("ord", "earlier")
@@ -89,12 +119,11 @@ def greedy(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] | None = None
         heads = rest.select(F.col("earlier").alias("ord")).distinct().join(waiting, "ord", "left_anti")
         primary = cut(primary.unionByName(freed).unionByName(heads).distinct())
         open_edges = rest
-        if rest.isEmpty():
-            break
-    return found
+    last = edges.sparkSession.createDataFrame(in_order([(r.ord, r.earlier) for r in open_edges.collect()]), T.StructType([T.StructField(c, edges.schema["ord"].dataType) for c in ("ord", "target")]))
+    return last if found is None else found.unionByName(last)
 
 
-def deduplicate(papers: DataFrame, methods: Sequence[dict], cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def deduplicate(papers: DataFrame, methods: Sequence[dict], cut: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """ord, target, method for every duplicate. Methods, tried in order: doi_exact,
     title_author_fuzzy and title_fuzzy (with threshold)."""
     rows = papers.select("ord", doi_stem(F.col("doi")).alias("stem"), dedup_title(F.col("title")).alias("t"), F.lower(F.get("authors", F.lit(0))["family_name"]).alias("family"))
@@ -112,7 +141,7 @@ def deduplicate(papers: DataFrame, methods: Sequence[dict], cut: Callable[[DataF
         edges = parts[0]
         for p in parts[1:]:
             edges = edges.unionByName(p)
-        edges = cut(edges) if cut else edges
+        edges = cut(edges)
         duplicates = greedy(edges.select("ord", "earlier").distinct(), cut)
         primary = edges.join(duplicates.select(F.col("ord").alias("earlier")), "earlier", "left_anti")
         best = primary.groupBy("ord").agg(F.min(F.struct("k", "earlier")).alias("best"))

@@ -98,7 +98,7 @@ def paper(df, ctx, papers, **more):
 
 def deduplication(df, ctx, methods=({"method": "doi_exact"}, {"method": "title_author_fuzzy", "threshold": 0.90}, {"method": "title_fuzzy", "threshold": 0.95}), **_):
     fresh = df.where(F.col("screening.deduplication").isNull())
-    found = dedup.deduplicate(fresh, list(methods), lambda x: sinks_cut(ctx, x))
+    found = dedup.deduplicate(fresh, list(methods))
     names = df.select(F.col("ord").alias("target"), F.col("id").alias("_target"))
     marks = found.join(names, "target").select("ord", "_target", F.col("method").alias("_method"))
     out = df.join(marks, "ord", "left")

@@ -76,6 +76,23 @@ def test_fuzzy_dedup_is_greedy(spark):
         assert got == want and want
 
 
+def test_long_chains_are_resolved(spark):
+    chain = spark.createDataFrame([(k, k - 1) for k in range(1, 300)], "ord long, earlier long")
+    assert {r.ord: r.target for r in dedup.greedy(chain).collect()} == {k: k - 1 for k in range(1, 300, 2)}
+    rnd = random.Random(2)
+    edges = [(k, e) for k in range(60) for e in range(max(0, k - 12), k) if rnd.random() < 0.25]
+    want = greedy_reference(range(60), lambda a, b: (a, b) in set(edges))
+    for at_once in (0, 5, 100_000):  # in rounds, by both ways, on the driver alone
+        got = dedup.greedy(spark.createDataFrame(edges, "ord long, earlier long"), at_once=at_once).select("ord").collect()
+        assert sorted(r.ord for r in got) == sorted(want)
+
+
+def test_dedup_rounds_go_on(spark):
+    chain = spark.createDataFrame([(k, k - 1) for k in range(1, 110)], "ord long, earlier long").coalesce(1)
+    got = dedup.greedy(chain, at_once=0).collect()
+    assert sorted(r.ord for r in got) == list(range(1, 110, 2))
+
+
 def test_dedup_methods_in_order(spark):
     df = paper_table(spark, [*ROWS, (4, "e", "other", None, None, None, "10.1/A", "Smith", "en", None)])
     got = {r.ord: (r.target, r.method) for r in dedup.deduplicate(df, [{"method": "doi_exact"}, {"method": "title_author_fuzzy"}]).collect()}
