@@ -1,10 +1,19 @@
-"""Vector arithmetic on array columns: folds inside the JVM, in double precision."""
+"""Vector arithmetic on array columns: folds inside the JVM, in double precision; all
+against all in Arrow blocks."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Vectors of a block; a pair of blocks is one row.
+BLOCK = 512
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -38,3 +47,32 @@ def mean_vectors(df: DataFrame, vector: str, *by: str) -> DataFrame:
     long = df.select(*by, F.posexplode(vector).alias("pos", "x"))
     each = long.groupBy(*by, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
     return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("mean_vector"))
+
+
+def nearest_other(df: DataFrame, block: int = BLOCK) -> DataFrame:
+    """vec_id, best: for each row (vec_id, v), the greatest cosine with any row of another
+    vec_id whose vector is as long, 0 if one is zero. Every block is compared with every
+    block, so the work grows with the square of the table."""
+    count = max(1, -(-df.count() // block))
+    number = F.pmod(F.xxhash64("vec_id"), F.lit(count)).alias("k")
+    # a block holds vectors of one length
+    blocks = df.where("v is not null").groupBy(F.size("v").alias("size"), number).agg(F.collect_list(F.struct("vec_id", "v")).alias("a")).select("a")
+
+    def unit(rows: pa.StructArray) -> tuple[pa.Array, np.ndarray]:
+        ids, vectors = rows.flatten()
+        x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        size = np.sqrt((x * x).sum(1))
+        return ids, x / np.where(size == 0, 1, size)[:, None]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch.column(0), batch.column(1), strict=True):
+                (ids, x), (others, y) = unit(a.values), unit(b.values)
+                if x.shape[1] == y.shape[1]:
+                    near = np.where(ids.to_numpy()[:, None] == others.to_numpy(), -np.inf, x @ y.T).max(1)
+                    seen = np.isfinite(near)
+                    yield pa.RecordBatch.from_arrays([ids.filter(pa.array(seen)), pa.array(near[seen])], names=["vec_id", "best"])
+
+    blocks = blocks.coalesce(2 * math.ceil(math.sqrt(count)))  # a task for each pair of partitions
+    pairs = blocks.crossJoin(blocks.withColumnRenamed("a", "b"))
+    return pairs.mapInArrow(compare, "vec_id long, best double").groupBy("vec_id").agg(F.max("best").alias("best"))

@@ -521,6 +521,13 @@ def nearest_neighbor_gap(spark, d):
     return near.where("best < 0.4")
 
 
+@query(f"SELECT vec_id, best FROM (SELECT a.vec_id, round(max({_COS}), 6) AS best FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY 1) WHERE best < 0.4")
+def nearest_neighbor_gap_all(spark, d):
+    """Against all other rows; nearest_neighbor_gap, as its SQL, within a label."""
+    near = v.nearest_other(unit_vectors(spark, d).select("vec_id", "v"))
+    return near.select("vec_id", F.round("best", 6).alias("best")).where("best < 0.4")
+
+
 @query("SELECT conv_id, turn, n FROM (SELECT conv_id, turn, length(text)::INT AS n, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS r FROM conversations) WHERE r = 1")
 def best_chunk_per_paper(spark, d):
     c = read(spark, d, "conversations").withColumn("n", F.length("text"))

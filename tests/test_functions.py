@@ -1,9 +1,11 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from litsieve.functions import identifiers as ids
 from litsieve.functions import text as t
 from litsieve.functions import vectors as v
+from litsieve.plans import catalog
 
 
 def values(spark, column_of, inputs, kind="string"):
@@ -95,3 +97,18 @@ def test_vectors(spark):
 def test_inverted_index(spark):
     df = spark.createDataFrame([({"world": [1], "hello": [0, 2]},)], "x map<string, array<int>>")
     assert df.select(t.inverted_index_text(F.col("x"))).first()[0] == "hello world hello"
+
+
+def test_nearest_is_among_all_other_rows(spark, tmp_path):
+    # 1 and 3 are near each other, but of different labels
+    rows = [(1, [1.0, 0.1, 0.0], 0), (2, [0.0, 1.0, 0.0], 0), (3, [1.0, 0.0, 0.0], 1), (4, [0.0, 0.0, 1.0], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.queries()["nearest_neighbor_gap_all"](spark, str(tmp_path)).collect()
+    assert {(r.vec_id, r.best) for r in got} == {(2, 0.099504), (4, 0.0)}
+    e = np.random.default_rng(1).normal(size=(70, 5))
+    e[9] = 0
+    table = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(e)] + [(70, [1.0]), (71, None)], "vec_id long, v array<double>")
+    u = e / np.maximum(np.linalg.norm(e, axis=1), 1e-9)[:, None]
+    want = (u @ u.T - 9 * np.eye(70)).max(1)
+    best = {r.vec_id: r.best for r in v.nearest_other(table, block=16).collect()}
+    assert sorted(best) == list(range(70)) and np.allclose([best[k] for k in range(70)], want)
