@@ -57,3 +57,15 @@ def test_entry_works_without_the_corpus_operators(spark, monkeypatch):
     assert not any(q.startswith("op") and q[2].isdigit() for q in entry.queries()) and "grep_text" in entry.queries()
     assert entry.entry(spark).count() > 0
     monkeypatch.delitem(sys.modules, "__spark_entry__")
+
+
+def test_year_overview_covers_every_year_and_order(spark, tmp_path):
+    rows = [(k, f"{2000 + k % 2}-01-01" if k % 5 else None, "F", "1", 10.0 * k, 1) for k in [*range(1, 40), 65_536, 65_537, 200_001]]
+    df = spark.createDataFrame(rows, "o_orderkey long, day string, o_orderstatus string, o_orderpriority string, o_totalprice double, o_custkey long")
+    df.selectExpr("*", "cast(day as date) o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {(r.year, r.piece): (r.n, r.ids) for r in catalog.queries()["year_overview_all"](spark, str(tmp_path)).collect()}
+    want = {}
+    for k, day, *_ in rows:
+        if day:
+            want.setdefault((int(day[:4]), k // 65_536), []).append(k)
+    assert got == {key: (len(x), ",".join(map(str, x))) for key, x in want.items()}
