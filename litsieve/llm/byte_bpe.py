@@ -8,7 +8,8 @@ start), and grows to the right until one of its settled piece borders is also a
 of the right side: from there on both readings are the same. Inside one long piece the
 same reduction runs on tokens: there a sequence of tokens is the encoding of its bytes
 exactly if every two neighbours are the encoding of theirs, so the window grows until
-both pairs at its ends hold. Decoding concatenates the leaves' bytes up the tree.
+both pairs at its ends hold. Only encoding uses the tree: decoding is one flat gather of the
+tokens' bytes over all ids.
 
 Defined cases: a null or empty text has no ids; rows are independent, so repeated rows
 and repeated or null doc_ids each get a row; other columns are not read.
