@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns documents with their own colu
 last returns a row of figures and digests for each document that is left. A stage works
 on all that its predecessor kept, and its decisions take effect:
 
-1. language ID: documents go whose language can't be told (no text, or no letter)
+1. language ID: documents go whose language can't be told (no text, or no letter); without
+   any labels, those with letters stay
 2. MinHash near-dedup: one document of each group stays (five-word shingles, 0.8)
 3. substring dedup: words go that a 50-word window repeats from a smaller doc_id
 4. benchmark decontamination: documents go that hold a benchmark window
@@ -24,6 +25,8 @@ from litsieve.llm.shared import row_key
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("piece_bpe_32k.model")
     langs, probability = language_id.learn(docs, vocabulary)
+    if not langs:  # nothing to tell languages by
+        return docs.where(r"text rlike '\\p{L}'")
     return language_id.predict(docs, langs, probability, vocabulary).where("lang_pred <> 'und'").select(*docs.columns)
 
 

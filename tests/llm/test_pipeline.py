@@ -42,3 +42,11 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert got[4] == sorted(((i, len(plain.encode_ordinary(t))) for i, t in want), key=key)
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(((r.doc_id, r.n_tokens) for r in whole.collect()), key=key) == got[4]
+
+
+def test_language_stage_without_labels_keeps_documents_with_letters(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "Plain words.", None), (2, "12 + 3", None), (3, None, None), (4, "été", None), (5, "", None)], "doc_id long, text string, lang string")
+    got = corpus_pipeline.language_stage(spark, docs, "")
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [1, 4]
