@@ -8,11 +8,12 @@ start), and grows to the right until one of its settled piece borders is also a
 of the right side: from there on both readings are the same. Inside one long piece the
 same reduction runs on tokens: there a sequence of tokens is the encoding of its bytes
 exactly if every two neighbours are the encoding of theirs, so the window grows until
-both pairs at its ends hold. Only encoding uses the tree: decoding is one flat gather of the
-tokens' bytes over all ids.
+both pairs at its ends hold. Decoding spells leaves of ids and concatenates neighbours up the
+tree.
 
-Defined cases: a null or empty text has no ids; rows are independent, so repeated rows
-and repeated or null doc_ids each get a row; other columns are not read.
+Defined cases: a null or empty text has no ids; a text of any length goes through the tree;
+rows are independent, so repeated rows and repeated or null doc_ids each get a row; an empty
+table has no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ from .pieces import PieceIds, byte_pieces, load_ranks, odd_rows, scan
 from .vec import chunks, ranges
 
 LEAF_BYTES = 4096
+LEAF_IDS = 4096
 #: Bytes that decide where a piece ends: three characters past it.
 LOOKAHEAD = 12
 LONG_PIECE = 1024
@@ -162,11 +165,29 @@ class TreeCodec:
         return (np.concatenate(out) if out else np.zeros(0, np.uint32)), np.array(sizes, np.int64)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of all rows, and how many each row has."""
+        """Bytes of all rows, and how many each row has. Leaves of ``LEAF_IDS`` ids are spelt
+        each by itself; neighbours are then concatenated, level by level, up to the text."""
+        leaves = np.maximum(1, -(-counts // LEAF_IDS))
+        row = np.repeat(np.arange(len(counts)), leaves)
+        begin = (np.cumsum(counts) - counts)[row] + ranges(np.zeros(len(counts), np.int64), leaves) * LEAF_IDS
+        spelt = [self.spell(ids[a:b]) for a, b in zip(begin.tolist(), np.append(begin[1:], len(ids)).tolist(), strict=True)]
+        texts, at = [], 0
+        for n in leaves.tolist():
+            level, at = spelt[at : at + n], at + n
+            while len(level) > 1:
+                level = [level[k] + level[k + 1] if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+            texts.append(level[0])
+        return np.frombuffer(b"".join(texts), np.uint8), np.fromiter(map(len, texts), np.int64, len(texts))
+
+    def spell(self, ids: np.ndarray) -> bytes:
         size = self.token_size[ids]
-        total = np.append(0, np.cumsum(size))
-        ends = np.cumsum(counts)
-        return self.token_bytes[ranges(self.token_at[ids], size)], total[ends] - total[ends - counts]
+        return self.token_bytes[ranges(self.token_at[ids], size)].tobytes()
+
+
+@cache
+def codec_of(ranks_path: str, pattern: str, leaf_bytes: int) -> TreeCodec:
+    """A worker loads its vocabulary once, for all its tasks."""
+    return TreeCodec(ranks_path, pattern, leaf_bytes)
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, leaf_bytes: int = LEAF_BYTES, keep_ids: bool = False) -> DataFrame:
@@ -174,7 +195,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, leaf_bytes: in
     decoded text; with ``keep_ids`` also the ids."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = TreeCodec(ranks_path, pattern, leaf_bytes)
+        codec = codec_of(ranks_path, pattern, leaf_bytes)
         for batch in batches:
             for a, b, buf, off in chunks(batch):
                 ids, counts = codec.encode(buf, off)

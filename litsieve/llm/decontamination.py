@@ -160,7 +160,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_b
                         names=["rid", "doc_id", "n_words", "spans", "items"],
                     )
 
-        return base.mapInArrow(rows, "rid long, doc_id long, n_words long, spans binary, items array<string>")
+        return base.mapInArrow(rows, "rid binary, doc_id long, n_words long, spans binary, items array<string>")
 
     found = scan(0).withColumn("spans", F.array("spans"))
     if blocks > 1:
@@ -192,4 +192,4 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_b
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans", "rid"],
             )
 
-    return found.select("doc_id", "n_words", "spans", "items", "rid").mapInArrow(finish, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans binary, rid long")
+    return found.select("doc_id", "n_words", "spans", "items", "rid").mapInArrow(finish, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans binary, rid binary")

@@ -12,7 +12,8 @@ language, the first in the order of a hash of the doc_id, segmented by the vocab
 own library and smoothed. Nothing but these (at most vocabulary times languages) counts
 goes to the driver. Everything else covers all rows and whole texts.
 
-A distinct word of a chunk is scored once, all words of one length in step.
+A distinct word of a chunk is scored once, words of one length in step. ``nats``, the
+log-probability a byte, tells texts of the learnt languages from gibberish and others.
 
 Defined cases: ``und`` with score 0 if a text is null or has no letter, or if nothing
 could be learnt; rows with null doc_id or lang aren't learnt from and are predicted as
@@ -23,23 +24,28 @@ get a row; columns other than doc_id, text and (in learning) lang are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .vec import BYTE_TABLE, LOWER, U64, ascii_words, chunks, mix, powers, span_hashes, unique
+from .vec import BYTE_TABLE, LOWER, U64, ascii_words, groups, mix, powers, row_runs, span_hashes, text_buffers
 
 SAMPLE_DOCS = 400
 #: Pseudo-count of every piece, and the probability of a byte by itself.
 SMOOTHING = 0.1
 BYTE_PROBABILITY = 1e-7
 MARK = 0x20
-HELD_WORDS = 400_000
-TABLE_BITS = 20
-LONG_WORD = 40
+HELD_WORDS = 1 << 17
+TABLE_BITS = 18
+#: Numbers of a forward pass (words times bytes times languages) that are held at once.
+STEP_CELLS = 500_000
+#: Nats a byte below which a text is of none of the learnt languages, after an allowance
+#: of so many nats, as a few letters tell nothing.
+LEAST_NATS, ALLOWANCE = -7.0, 20.0
+_PREDICTION = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("nats", pa.float64())])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -120,58 +126,57 @@ class Vocabulary:
         return np.log(np.maximum(alpha[length], 1e-300)) + scale
 
 
+@cache
+def vocabulary_of(path: str) -> Vocabulary:
+    """For predicting: without the library's model."""
+    out = Vocabulary(path)
+    del out.model
+    return out
+
+
 class Scorer:
-    def __init__(self, vocabulary_path: str, probability: np.ndarray):
-        self.vocabulary, self.probability = Vocabulary(vocabulary_path), probability
-        self.known: dict[int, np.ndarray] = {}
-
-    def words(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """Log-probabilities of distinct words."""
-        if len(self.known) > HELD_WORDS:
-            self.known.clear()
-        out = np.zeros((len(h), self.probability.shape[1]))
-        missing = []
-        for k, key in enumerate(h.tolist()):
-            found = self.known.get(key)
-            if found is None:
-                missing.append(k)
-            else:
-                out[k] = found
-        if missing:
-            at = np.array(missing)
-            size = (ends - starts)[at]
-            for length in np.unique(size).tolist():
-                rows = at[size == length]
-                step = len(rows) if length <= LONG_WORD else max(1, 200_000 // length)
-                for x in range(0, len(rows), step):
-                    part = rows[x : x + step]
-                    matrix = np.empty((len(part), length + 1), np.uint8)
-                    matrix[:, 0] = MARK
-                    for r, k in enumerate(part.tolist()):
-                        matrix[r, 1:] = np.frombuffer(raw, np.uint8, length, starts[k])
-                    out[part] = self.vocabulary.forward(matrix, self.probability)
-            for k in missing:
-                self.known[int(h[k])] = out[k]
+    """Scores texts; a direct-mapped cache of ``HELD_WORDS`` words keeps what it has scored."""
+
+    def __init__(self, vocabulary: Vocabulary, probability: np.ndarray):
+        self.vocabulary, self.probability = vocabulary, probability
+        self.held = np.zeros(HELD_WORDS, U64)
+        self.value = np.zeros((HELD_WORDS, probability.shape[1]))
+
+    def words(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Log-probabilities of distinct words with fingerprints h."""
+        slot = (h & U64(HELD_WORDS - 1)).astype(np.int64)
+        out = self.value[slot]
+        missing = np.flatnonzero(self.held[slot] != h)
+        size = (ends - starts)[missing]
+        for length in np.unique(size).tolist():
+            rows = missing[size == length]
+            step = max(1, STEP_CELLS // ((length + 1) * self.probability.shape[1]))
+            for x in range(0, len(rows), step):
+                part = rows[x : x + step]
+                matrix = np.full((len(part), length + 1), MARK, np.uint8)
+                matrix[:, 1:] = raw[starts[part][:, None] + np.arange(length)]
+                out[part] = self.vocabulary.forward(matrix, self.probability)
+        self.held[slot[missing]], self.value[slot[missing]] = h[missing], out[missing]
         return out
 
-    def texts(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log-probability by language, whether there is a letter) of each row."""
+    def texts(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log-probability by language, bytes scored, whether there is a letter) of each row."""
         n = len(off) - 1
         low = LOWER[buf]
-        total = np.zeros((n, self.probability.shape[1]))
+        total, scored = np.zeros((n, self.probability.shape[1])), np.zeros(n)
         starts, ends, bounds = ascii_words(low, off)
         if len(starts):
-            h = span_hashes(low, starts, ends)
-            first, group = unique(h)
-            each = self.words(low.tobytes(), starts[first], ends[first], h[first])
+            first, group = groups(low, starts, ends)
+            each = self.words(low, starts[first], ends[first], span_hashes(low, starts[first], ends[first]))
             row = np.repeat(np.arange(n), np.diff(bounds))
             for k in range(total.shape[1]):
                 total[:, k] = np.bincount(row, weights=each[group, k], minlength=n)
+            scored = np.bincount(row, weights=ends - starts + 1, minlength=n)
         plain = np.append(0, np.cumsum((low >= 97) & (low <= 122)))
         letter = plain[off[1:]] > plain[off[:-1]]
         for r in np.flatnonzero(~letter & (off[1:] > off[:-1])).tolist():
             letter[r] = any(c.isalpha() for c in buf[off[r] : off[r + 1]].tobytes().decode("utf-8", "replace"))
-        return total, letter
+        return total, scored, letter
 
 
 def learn(docs: DataFrame, vocabulary_path: str, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
@@ -204,29 +209,46 @@ def learn(docs: DataFrame, vocabulary_path: str, sample_docs: int = SAMPLE_DOCS)
     return langs, table
 
 
-def predict(docs: DataFrame, langs: list[str], probability: np.ndarray, vocabulary_path: str) -> DataFrame:
-    """docs (doc_id, text) with lang_pred and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(probability)
+def prediction(spark: SparkSession, text: Column, langs: list[str], probability: np.ndarray, vocabulary_path: str) -> Column:
+    """lang_pred, score and nats (log-probability a byte under that language after ``ALLOWANCE``, null for ``und``) of a text column. Only texts go to Python: what else a row has stays where it is."""
+    shared = spark.sparkContext.broadcast(probability)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(vocabulary_path, shared.value) if langs else None
-        for batch in batches:
-            for a, b, buf, off in chunks(batch):
+    def predict(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(vocabulary_of(vocabulary_path), shared.value) if langs else None
+        for array in arrays:
+            parts = [pa.array([], _PREDICTION)]
+            buf, off = text_buffers(array)
+            for a, b in row_runs(off):
                 if scorer:
-                    logs, letter = scorer.texts(buf, off)
-                    best = logs.argmax(1)
-                    score = 1 / np.exp(logs - logs.max(1)[:, None]).sum(1)
+                    logs, scored, letter = scorer.texts(buf[off[a] : off[b]], off[a : b + 1] - off[a])
+                    best, most = logs.argmax(1), logs.max(1)
+                    score = 1 / np.exp(logs - most[:, None]).sum(1)
+                    nats = np.minimum(0, most + ALLOWANCE) / np.maximum(scored, 1)
                 else:
-                    best, letter, score = np.zeros(b - a, int), np.zeros(b - a, bool), np.zeros(b - a)
+                    best, letter, score, nats = np.zeros(b - a, int), np.zeros(b - a, bool), np.zeros(b - a), np.zeros(b - a)
                 names = [langs[k] if ok else "und" for k, ok in zip(best.tolist(), letter.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in range(batch.num_columns)), pa.array(names, pa.string()), pa.array(np.where(letter, score, 0.0))], names=[*batch.schema.names, "lang_pred", "score"])
+                columns = [pa.array(names, pa.string()), pa.array(np.where(letter, score, 0.0)), pa.array(nats, mask=~letter)]
+                parts.append(pa.StructArray.from_arrays(columns, fields=list(_PREDICTION)))
+            yield pa.concat_arrays(parts)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(rows, schema)
+    predict.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf("lang_pred string, score double, nats double")(predict)(text)
 
 
 def identify(docs: DataFrame, vocabulary_path: str, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Per row: doc_id, held_out, lang_pred, score."""
+    """Per row: doc_id, held_out, lang_pred, score, nats."""
+    langs, probability = learn(docs, vocabulary_path, sample_docs)
+    found = prediction(docs.sparkSession, F.col("text"), langs, probability, vocabulary_path)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("found"))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "found.lang_pred", "found.score", "found.nats")
+
+
+def accepted(docs: DataFrame, vocabulary_path: str, sample_docs: int = SAMPLE_DOCS, least_nats: float = LEAST_NATS) -> DataFrame:
+    """The rows of docs that are of a learnt language: they have letters, and a byte's
+    log-probability under the predicted language is at least ``least_nats`` on average.
+    If nothing could be learnt, those with letters."""
     langs, probability = learn(docs, vocabulary_path, sample_docs)
-    found = predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), langs, probability, vocabulary_path)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    if not langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = prediction(docs.sparkSession, F.col("text"), langs, probability, vocabulary_path)
+    return docs.where(F.coalesce(found["nats"] >= least_nats, F.lit(False)))

@@ -9,23 +9,25 @@ are buckets. A bucket's centre is the class that meets most others over all its
 of n classes gives n - 1 candidate pairs, and each pair is confirmed on the full sets.
 
 Rays that their centre didn't bring into one component may still be linked with each
-other, in large buckets that hold several components (small ones, of up to ``SMALL``
-classes, compare all their members at once). For the members of these buckets the
-shingles are counted that no other of them has: such shingles can't be shared, so they
-bound the similarity of every pair exactly, and members that can't reach the threshold
-with anything drop out. As long as a bucket then holds several components, the round is
-repeated in it with the next centres, against the members of other components that the
-bounds allow. A bucket is settled when all its members are in one component, or all
-members outside its largest component were centres. So every pair that shares a bucket
-is compared, connected already, or out of reach by its bounds.
+other. Two sets differ in what their differences from the centre differ in, so rays a and b
+are linked only if their difference sets D share enough elements:
+
+    2 * |D(a) & D(b)| >= |D(a)| + |D(b)| - k * (|a| + |b|),  k = (100 - percent) / (100 + percent)
+
+A ray that isn't linked with the centre has a large D, so it needs many in common with any
+other. That is a prefix filter: with the elements of a centre's rays in one order, rare
+ones first, a linked pair shares one of the first |D| - need + 1 of both. As most of a copy's
+differences are its own, few of these are shared, and few pairs are left to confirm in a
+group of any size. No pair is lost by it: rays of a centre whose pair isn't generated are
+connected already, or can't be linked.
 
 Components are found on the cluster by hooking to the least neighbour and pointer
 jumping; nothing but counts goes to the driver.
 
 Defined cases: texts without words (or null) have empty sets and are linked with nothing;
 a null doc_id is linked with nothing and is its own (null) component; repeated rows and
-rows with equal doc_id are linked as any others and each get a row; other columns are not
-read.
+rows with equal doc_id are linked as any others and each get a row; an empty table has no
+rows; a text of any length is one set; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,19 +36,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import row_key, written
+from .shared import discard, row_key, written
 from .vec import LOWER, U64, ascii_words, chunks, mix, span_hashes
 
 BINS = 256
 BANDS = 42
 ROWS = 6
-SMALL = 6
-#: Further centres of a bucket in one round.
-CENTRES = 512
-ATTEMPTS = 64
+#: Probes that are tried one by one, and those that are tried at once for what is left.
+ATTEMPTS, MORE_ATTEMPTS = 64, 4096
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarray]:
@@ -75,13 +75,15 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarray
     return out
 
 
-_probe = (mix(np.arange(BINS * ATTEMPTS, dtype=U64) + U64(0x5851F42D4C957F2D)) % U64(BINS)).astype(np.int64).reshape(ATTEMPTS, BINS)
+_probe = (mix(np.arange(BINS * MORE_ATTEMPTS, dtype=U64) + U64(0x5851F42D4C957F2D)) % U64(BINS)).astype(np.int16).reshape(MORE_ATTEMPTS, BINS)
 
 
 def signature(s: np.ndarray) -> np.ndarray:
     """One-permutation MinHash with optimal densification, of a set that isn't empty."""
     bins = (s >> U64(64 - BINS.bit_length() + 1)).astype(np.int64)
     new = np.append(True, bins[1:] != bins[:-1])
+    if new.sum() == 1:  # every probe ends in the one full bin
+        return np.full(BINS, s[0])
     out, full = np.zeros(BINS, U64), np.zeros(BINS, bool)
     out[bins[new]], full[bins[new]] = s[new], True
     empty = np.flatnonzero(~full)
@@ -92,9 +94,9 @@ def signature(s: np.ndarray) -> np.ndarray:
         good = full[donor]
         out[empty[good]] = out[donor[good]]
         empty = empty[~good]
-    if len(empty):  # next full bin in a circle
-        have = np.flatnonzero(full)
-        out[empty] = out[have[np.searchsorted(have, empty) % len(have)]]
+    if len(empty):  # few full bins: with two, a probe in 10 ** 13 finds none
+        donor = _probe[ATTEMPTS:, empty]
+        out[empty] = out[donor[full[donor].argmax(0), np.arange(len(empty))]]
     return out
 
 
@@ -119,7 +121,7 @@ def digests(base: DataFrame, size: int) -> DataFrame:
                     names=["rid", "doc_id", "n_shingles", "digest"],
                 )
 
-    return base.select("rid", "doc_id", "text").mapInArrow(rows, "rid long, doc_id long, n_shingles long, digest binary")
+    return base.select("rid", "doc_id", "text").mapInArrow(rows, "rid binary, doc_id long, n_shingles long, digest binary")
 
 
 def bucket_rows(texts: DataFrame, size: int) -> DataFrame:
@@ -140,21 +142,6 @@ def bucket_rows(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(rows, "bucket long, id long, n int")
 
 
-def own_shingles(texts: DataFrame, size: int) -> DataFrame:
-    """id, own: how many shingles a class has that none of the others here has."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b, buf, off in chunks(batch):
-                sets = shingle_sets(buf, off, size)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[a:b], [len(s) for s in sets])), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "shingle"])
-
-    each = texts.select("id", "text").mapInArrow(rows, "id long, shingle long")
-    once = each.groupBy("shingle").agg(F.count("*").alias("classes"), F.min("id").alias("id")).where("classes = 1")
-    return once.groupBy("id").agg(F.count("*").cast("int").alias("own"))
-
-
 def set_rows(texts: DataFrame, size: int) -> DataFrame:
     """id and its set as bytes."""
 
@@ -167,47 +154,53 @@ def set_rows(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(rows, "id long, shingles binary")
 
 
-def touched_sets(texts: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """The sets of all that is in pairs."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    return written(set_rows(texts.join(ids, "id", "left_semi"), size), "sets")
+def sets_of(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """The sets of classes (id), written."""
+    return written(set_rows(texts.join(ids.distinct(), "id", "left_semi"), size), "sets")
+
+
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with the sets left and right."""
+    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
+    return with_b.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a").select(*pairs.columns, "left", "right")
+
+
+def shared_count(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which of right's members left has."""
+    return left[np.minimum(np.searchsorted(left, right), len(left) - 1)] == right
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, np.zeros(0, U64)
         for batch in batches:
             keep = []
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if a != last:
-                    last, left = a, np.frombuffer(x.as_buffer(), "<u8")
-                right = np.frombuffer(y.as_buffer(), "<u8")
-                at = np.minimum(np.searchsorted(left, right), len(left) - 1)
-                both = int((left[at] == right).sum())
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                left, right = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                both = int(shared_count(left, right).sum())
                 keep.append(100 * both >= percent * (len(left) + len(right) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    # sizes of sets vary: few rows at a time
-    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
-    with_both = with_b.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a")
-    return written(with_both.select("a", "b", "left", "right").mapInArrow(rows, "a long, b long"), "confirmed")
+    return written(with_sets(pairs.select("a", "b"), sets).mapInArrow(rows, "a long, b long"), "confirmed")
 
 
 def components(links: DataFrame) -> DataFrame:
     """id, component (its least member) of everything in links (a, b)."""
     edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = written(edges.distinct(), "links")
-    label = written(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "labels")
+    table = written(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "labels")
     while True:
+        label = table.select("id", "component")
         near = edges.join(label.select(F.col("id").alias("b"), F.col("component").alias("seen")), "b").groupBy(F.col("a").alias("id")).agg(F.min("seen").alias("seen"))
         hooked = label.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "seen").alias("component"))
         above = label.select(F.col("id").alias("component"), F.col("component").alias("above"))
         new = written(hooked.join(above, "component").select("id", "was", F.col("above").alias("component")), "labels")
-        label = new.select("id", "component")
+        discard(table)
+        table = new
         if new.where("was <> component").isEmpty():
-            return label
+            discard(edges)
+            return new.select("id", "component")
 
 
 def similar(x: str, y: str, percent: int) -> str:
@@ -215,87 +208,130 @@ def similar(x: str, y: str, percent: int) -> str:
     return f"100L * least({x}, {y}) >= {percent} * greatest({x}, {y})"
 
 
-def meetings(keyed: DataFrame) -> DataFrame:
-    """bucket, id, n, members, key, centre, nc of all buckets of several classes. The
-    order of keys is that of centres: who meets most others comes first."""
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    shared = written(keyed.join(written(sizes, "sizes"), "bucket"), "shared")
+def star_rays(keyed: DataFrame) -> DataFrame:
+    """c, id, nc, n: the centre and another class of a bucket, with their sizes, once each.
+    A bucket's centre is who meets most others."""
+    sizes = written(keyed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
+    shared = written(keyed.join(sizes, "bucket"), "shared")
     popular = written(shared.groupBy("id").agg(F.sum("members").alias("met")), "popular")
-    met = written(shared.join(popular, "id").select("bucket", "id", "n", "members", F.struct((-F.col("met")).alias("rank"), "id", "n").alias("key")), "members")
+    met = written(shared.join(popular, "id").select("bucket", "id", "n", F.struct((-F.col("met")).alias("rank"), "id", "n").alias("key")), "members")
     heads = written(met.groupBy("bucket").agg(F.min("key").alias("head")), "heads")
-    return written(met.join(heads, "bucket").select("bucket", "id", "n", "members", "key", F.col("head.id").alias("centre"), F.col("head.n").alias("nc")), "members")
+    rays = met.join(heads, "bucket").where("id <> head.id").select(F.col("head.id").alias("c"), "id", F.col("head.n").alias("nc"), "n").distinct()
+    out = written(rays, "rays")
+    discard(sizes, shared, popular, met, heads)
+    return out
+
 
+def differences(rays: DataFrame, sets: DataFrame) -> DataFrame:
+    """c, id, nc, n, component, at (the centre's component), d, elements: the elements that
+    one of a ray and its centre has (named together with the centre), and their number."""
 
-def several(left: DataFrame, label: DataFrame) -> DataFrame:
-    """left (bucket, id, ...) with component, in buckets with several components only."""
-    seen = written(left.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")), "seen")
-    mixed = seen.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket")
-    return seen.join(written(mixed, "mixed"), "bucket")
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number, elements = [], []
+            for c, x, y in zip(batch.column(0).to_pylist(), batch.column(6), batch.column(7), strict=True):
+                left, right = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                apart = np.concatenate([left[~shared_count(right, left)], right[~shared_count(left, right)]])
+                number.append(len(apart))
+                elements.append(mix(apart ^ mix(np.array([c], np.int64).view(U64))).view(np.int64))
+            at = np.append(0, np.cumsum(number))
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([*elements, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(6)), pa.array(number, pa.int32()), lists], names=["c", "id", "nc", "n", "component", "at", "d", "elements"])
+
+    named = rays.select(F.col("c").alias("a"), F.col("id").alias("b"), "nc", "n", "component", "at")
+    return with_sets(named, sets).mapInArrow(rows, "c long, id long, nc int, n int, component long, at long, d int, elements array<long>")
+
+
+def ray_pairs(apart: DataFrame, percent: int) -> DataFrame:
+    """a, b: rays of one centre, of different components, that may be linked, by the prefix
+    filter on their differences from the centre (all numbers are whole: bounds are exact)."""
+    p, q = 100 + percent, 100 - percent
+    up = lambda x, by: -F.floor(-x / F.lit(by))
+    largest = lambda n: F.floor(100 * F.col(n) / percent)
+    excess = p * F.col("d").cast("long") - q * F.col("n").cast("long")
+    far = excess > q * F.col("nc")
+    with_far = up(excess + q * F.col("nc") + 1, 2 * p)
+    by_size = lambda most: up(excess - q * most, p)
+    one = F.lit(1).cast("long")
+    rays = apart.withColumn("far", far).withColumn("need_far", F.when(far, F.greatest(one, with_far, by_size(largest("n")))).otherwise(F.greatest(one, with_far)))
+    # against rays near the centre; a near ray needs the same against every far one
+    rays = rays.withColumn("need_near", F.when(far, F.greatest(one, by_size(F.least(largest("n"), largest("nc"))))).otherwise(F.col("need_far")))
+    rays = rays.where("d >= least(need_far, need_near)")
+    each = rays.select("c", "id", "n", "component", "at", "d", "far", "need_far", "need_near", F.explode("elements").alias("t"))
+    met = each.groupBy("t").agg(F.count("*").alias("times"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("t", "times")
+    # elements in rays of one component only are first in order: no pair needs them
+    of = F.collect_list(F.struct("times", "t"))
+    first = each.join(met, "t").groupBy("c", "id", "n", "component", "at", "d", "far", "need_far", "need_near").agg(F.array_sort(of).alias("shared"))
+    own = F.col("d") - F.size("shared")
+    listed = first.select("id", "n", "component", "at", "far", (F.col("d") - F.col("need_far") + 1 - own).alias("to_far"), (F.col("d") - F.col("need_near") + 1 - own).alias("to_near"), F.posexplode("shared").alias("k", "e"))
+    listed = listed.where("k < greatest(to_far, to_near)").select("id", "n", "component", "at", "far", (F.col("k") < F.col("to_far")).alias("pre_far"), (F.col("k") < F.col("to_near")).alias("pre_near"), F.col("e.t").alias("t"))
+    listed = written(listed, "prefixes")
+    left = listed.where("far").select("t", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), "at", F.col("pre_far").alias("a_far"), F.col("pre_near").alias("a_near"))
+    right = listed.select("t", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), "far", "pre_far")
+    both = (F.col("far") & F.col("a_far") & F.col("pre_far") & (F.col("a") < F.col("b"))) | (~F.col("far") & F.col("a_near") & F.col("pre_far") & (F.col("ca") != F.col("at")))
+    met = left.join(right, "t").where(both & (F.col("ca") != F.col("cb"))).where(similar("na", "nb", percent))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def linked_classes(texts: DataFrame, size: int, percent: int) -> DataFrame:
     """id, component of the classes (id, text) that are linked with another."""
-    met = meetings(written(bucket_rows(texts, size), "bands"))
-    rays = met.where("id <> centre").where(similar("n", "nc", percent)).select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b"))
-    small = met.where(f"members > 2 and members <= {SMALL} and id <> centre").select("bucket", "id", "n")
-    others = small.select("bucket", F.col("id").alias("a"), F.col("n").alias("na"))
-    mesh = small.join(others, "bucket").where("a < id").where(similar("n", "na", percent)).select("a", F.col("id").alias("b"))
-    pairs = written(rays.union(mesh).distinct(), "pairs")
-    links = confirmed(pairs, touched_sets(texts, pairs, size), percent)
+    rays = star_rays(written(bucket_rows(texts, size), "bands"))
+    stars = rays.where(similar("n", "nc", percent)).select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct()
+    stars = written(stars, "pairs")
+    links = confirmed(stars, sets_of(texts, ends(stars), size), percent)
     label = components(links)
-    # large buckets that hold several components, without members that can't be linked
-    large = met.where(f"members > {SMALL}").select("bucket", "id", "n", "key", (F.col("id") == F.col("centre")).alias("done"))
-    left = written(several(large, label).select("bucket", "id", "n", "key", "done"), "left")
-    if left.isEmpty():
+    # centres with rays of several components
+    named = rays.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    at = label.select(F.col("id").alias("c"), F.col("component").alias("at"))
+    named = written(named.join(at, "c", "left").withColumn("at", F.coalesce("at", "c")), "named")
+    several = named.groupBy("c").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("c")
+    mixed = written(named.join(several, "c", "left_semi").select("c", "id", "nc", "n", "component", "at"), "mixed")
+    if mixed.isEmpty():
         return label
-    own = written(own_shingles(texts.join(left.select("id").distinct(), "id", "left_semi"), size), "own")
-    left = left.join(own, "id", "left").select("bucket", "id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m"), "key", "done")
-    left = written(left.where(f"100L * m >= {percent} * n"), "left")
-    while True:
-        seen = several(left, label)
-        parts = written(seen.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.min(F.when(~F.col("done"), F.struct("key", "m"))).alias("next")), "parts")
-        largest = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("of")).where("of > 1")
-        waiting = parts.join(largest, "bucket").where("component <> top.component and next is not null")
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("next"))
-        heads = waiting.select("bucket", F.col("component").alias("ca"), F.col("next.key.id").alias("a"), F.col("next.key.n").alias("na"), F.col("next.m").alias("ma"), rank.alias("rank")).where(f"rank <= {CENTRES}")
-        heads = written(heads, "centres")
-        if heads.isEmpty():
-            return label
-        live = written(seen.join(heads.select("bucket").distinct(), "bucket", "left_semi"), "live")
-        new = live.join(heads, "bucket").where("component <> ca").where(f"100L * least(m, ma) >= {percent} * (n + na - least(m, ma))").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        new = written(new.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        pairs = pairs.unionByName(new)
-        if not new.isEmpty():
-            fresh = confirmed(new, touched_sets(texts, new, size), percent)
-            if not fresh.isEmpty():
-                links = links.unionByName(fresh)
-                label = components(links)
-        heads = heads.select("bucket", F.col("a").alias("id"), F.lit(True).alias("now"))
-        left = live.join(heads, ["bucket", "id"], "left").select("bucket", "id", "n", "m", "key", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
+    sets = sets_of(texts, mixed.select("id").union(mixed.select("c")), size)
+    apart = written(differences(mixed, sets), "differences")
+    new = written(ray_pairs(apart, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
+    discard(apart, mixed, named, rays)
+    if new.isEmpty():
+        return label
+    # the sets of new's members are among those of mixed
+    fresh = confirmed(new, sets, percent)
+    return label if fresh.isEmpty() else components(links.unionByName(fresh))
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept, and the row's key."""
+    """Per row: doc_id, n_shingles, component_id, kept, the row's key, and whether it leads
+    its group."""
     base = docs.select(row_key("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = written(digests(base, size), "sets")
+    rows = written(digests(base, size), "rows")
     some = rows.where("doc_id is not null and n_shingles > 0")
     classes = some.groupBy("digest").agg(F.min(F.struct("doc_id", "rid")).alias("first"))
-    leaders = classes.select("digest", F.col("first.doc_id").alias("id"), F.col("first.rid").alias("rid"))
-    # a doc_id that repeats with other texts can lead several classes: class ids are keys of their own
-    texts = base.join(leaders.select("rid").distinct(), "rid", "left_semi").select(F.col("rid").alias("id"), "text").dropDuplicates(["id"])
+    # numbered once, in the written table: an id names one class
+    classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "digest", "first.doc_id", "first.rid"), "classes")
+    texts = written(base.join(classes.select("rid", "id"), "rid").select("id", "text").dropDuplicates(["id"]), "texts")
     label = linked_classes(texts, size, percent)
-    of = leaders.join(label.select(F.col("id").alias("rid"), "component"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    least = of.groupBy("component").agg(F.min(F.struct("id", "rid")).alias("head"))
+    of = classes.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = of.groupBy("component").agg(F.min(F.struct("doc_id", "rid")).alias("head"))
     by_digest = of.join(least, "component").select("digest", "head")
-    out = rows.join(by_digest, "digest", "left")
-    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("head.id"))
-    leads = F.when(alone, F.lit(True)).otherwise(F.col("rid") == F.col("head.rid"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "rid", leads.alias("leads"))
+    linked = some.join(by_digest, "digest").select("doc_id", "n_shingles", F.col("head.doc_id").alias("component_id"), (F.col("doc_id") == F.col("head.doc_id")).alias("kept"), "rid", (F.col("rid") == F.col("head.rid")).alias("leads"))
+    alone = rows.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "rid", F.lit(True).alias("leads"))
+    return linked.unionByName(alone)
 
 
 def first_of_group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row of docs for each group; rows without words or doc_id all stay."""
-    leaders = near_duplicates(docs, size, percent).where("leads").select(F.col("rid").alias("_rid"), (F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).alias("_all")).distinct()
-    joined = docs.withColumn("_rid", row_key("doc_id", "text")).join(leaders, "_rid")
-    return joined.where("not _all").dropDuplicates(["_rid"]).unionByName(joined.where("_all")).drop("_rid", "_all")
+    """One row of docs for each group; rows without words or doc_id all stay. Of repeated
+    rows with other columns unlike, the one with the least of these (as JSON) stays."""
+    found = near_duplicates(docs, size, percent).where("leads").select("rid", (F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).alias("every")).distinct()
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_key("doc_id", "text").alias("rid"), _order(docs).alias("nth"))
+    joined = whole.join(found, "rid")
+    one = joined.where("not every").groupBy("rid").agg(F.min_by("row", "nth").alias("row"))
+    return one.select("row.*").unionByName(joined.where("every").select("row.*"))
+
+
+def _order(docs: DataFrame) -> Column:
+    """What tells rows of one doc_id and text apart."""
+    return F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))), {"ignoreNullFields": "false"})

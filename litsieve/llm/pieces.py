@@ -8,12 +8,13 @@ library's in every case. Rows are judged one by one.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 import regex
 
-from .vec import LOWER, ranges, span_hashes, unique
+from .vec import LOWER, groups, ranges
 
 SPACE, LETTER, DIGIT, OTHER = range(4)
 CLASS = np.full(256, OTHER, np.uint8)
@@ -96,24 +97,26 @@ def word_pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class PieceIds:
     """Ids of pieces, each encoded once while the bounded cache holds it."""
 
-    def __init__(self, encode: Callable[[bytes], list[int]], limit: int = 500_000):
-        self.encode, self.limit = encode, limit
-        self.known: dict[int, bytes] = {}
+    def __init__(self, encode: Callable[[bytes], list[int]], limit: int = 150_000, longest: int = 64):
+        self.encode, self.limit, self.longest = encode, limit, longest
+        self.known: dict[bytes, bytes] = {}
 
     def __call__(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each piece has."""
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        h = span_hashes(buf, starts, ends)
-        first, group = unique(h)
+        first, group = groups(buf, starts, ends)
         if len(self.known) > self.limit:
             self.known.clear()
         known, found = self.known, []
         raw = buf.tobytes()
-        for key, a, b in zip(h[first].tolist(), starts[first].tolist(), ends[first].tolist(), strict=True):
-            ids = known.get(key)
+        for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True):
+            piece = raw[a:b]
+            ids = known.get(piece)
             if ids is None:
-                ids = known[key] = np.array(self.encode(raw[a:b]), "<u4").tobytes()
+                ids = array("I", self.encode(piece)).tobytes()
+                if b - a <= self.longest:  # so that the cache is bounded in bytes
+                    known[piece] = ids
             found.append(ids)
         flat = np.frombuffer(b"".join(found), "<u4")
         counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
@@ -134,6 +137,13 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def spelt_out(raw: bytes, letters: dict[int, str]) -> str:
+    """A piece in the letters of byte-level vocabularies; printable ASCII is itself but for
+    the space."""
+    text = raw.decode("latin-1")
+    return text.replace(" ", letters[32]) if text.isascii() and text.isprintable() else text.translate(letters)
+
+
 def scan(pattern: regex.Pattern, raw: bytes) -> list[int]:
     """Byte offsets at which the pattern's pieces start, found by the pattern itself."""
     out, at = [], 0

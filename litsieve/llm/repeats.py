@@ -228,7 +228,7 @@ def super_kmers(base: DataFrame, shared: DataFrame, copies: DataFrame, windows:
     gone = copies.groupBy("doc_id").agg(F.collect_list("rid").alias("gone"))
     wanted = shared.join(gone, "doc_id", "left")
     fresh = base.where("doc_id is not null").join(wanted, "doc_id").where("gone is null or not array_contains(gone, rid)")
-    return fresh.select("rid", "doc_id", "text", "hashes").mapInArrow(cut, "h long, digest long, string binary, rid long, doc_id long, start int, n int")
+    return fresh.select("rid", "doc_id", "text", "hashes").mapInArrow(cut, "h long, digest long, string binary, rid binary, doc_id long, start int, n int")
 
 
 def marked_strings(strings: DataFrame, windows: Windows) -> DataFrame:

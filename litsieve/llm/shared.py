@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only if it is unset."""
+    """The folder in ``spark.checkpoint.dir``. Where it is unset, one of our own in local
+    mode; on a cluster that's an error, as machines don't share their folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         found = f"file://{tempfile.mkdtemp(prefix='litsieve-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,7 +35,17 @@ def written(df: DataFrame, name: str, settle: bool = False) -> DataFrame:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.7 if settle else 0)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._litsieve_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again."""
+    for df in tables:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df._litsieve_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -40,8 +53,9 @@ def partitions(spark: SparkSession) -> int:
 
 
 def row_key(*columns: str) -> Column:
-    """Names a row by its content, so that repeated rows share their results."""
-    return F.xxhash64(*columns)
+    """Names a row by 128 bits of its content, so that repeated rows share their results."""
+    parts = (F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns)
+    return F.unhex(F.md5(F.concat_ws(" ", *parts).cast("binary")))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,4 +87,4 @@ def apply_marks(found: DataFrame, width: int) -> DataFrame:
                 kept.append(out.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest), pa.array(kept), batch.column(4)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "rid"])
 
-    return found.select("doc_id", "text", "copy", "marks", "rid").mapInArrow(rows, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, rid long")
+    return found.select("doc_id", "text", "copy", "marks", "rid").mapInArrow(rows, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, rid binary")

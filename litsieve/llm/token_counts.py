@@ -10,25 +10,29 @@ string, are split by the library's own normaliser and pre-tokenizer; strings tha
 treats as special count as the one id that they are.
 
 Defined cases: null and empty texts have 0 bytes and tokens; repeated rows each get a
-row; other columns are not read.
+row; a pre-token of any length is one row of the join; an empty table has no rows; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import byte_letters, odd_rows, word_pieces
+from .pieces import byte_letters, odd_rows, spelt_out, word_pieces
 from .shared import row_key, written
-from .vec import chunks, span_hashes, unique
+from .vec import chunks, groups, same_spans, span_hashes
 
 HOT = 65_536
-HELD_WORDS = 300_000
+#: Longer pre-tokens are joined, however frequent, so that the hot ones are bounded in bytes.
+HOT_BYTES = 64
+HELD_WORDS = 100_000
 
 
 class WordSplitter:
@@ -43,7 +47,7 @@ class WordSplitter:
     def count_pieces(self, word: bytes) -> int:
         if word.decode("utf-8", "replace") in self.special:
             return 1
-        return len(self.model.tokenize(word.decode("latin-1").translate(self.letters)))
+        return len(self.model.tokenize(spelt_out(word, self.letters)))
 
     def by_library(self, text: str) -> list[bytes]:
         """Pre-tokens of a text, special strings whole."""
@@ -84,6 +88,12 @@ class WordSplitter:
         )
 
 
+@cache
+def splitter_of(path: str) -> WordSplitter:
+    """A worker loads its vocabulary once, for all its tasks."""
+    return WordSplitter(path)
+
+
 def distinct_words(docs: DataFrame, path: str) -> DataFrame:
     """word, n, pieces: each distinct pre-token with its frequency and token count."""
 
@@ -91,13 +101,13 @@ def distinct_words(docs: DataFrame, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, held = WordSplitter(path), Counter()
+        splitter, held = splitter_of(path), Counter()
         for batch in batches:
             for _, _, buf, off in chunks(batch):
                 low, starts, ends, _ = splitter.split(buf, off)
                 if not len(starts):
                     continue
-                first, group = unique(span_hashes(low, starts, ends))
+                first, group = groups(low, starts, ends)
                 n = np.bincount(group, minlength=len(first))
                 raw = low.tobytes()
                 for a, b, k in zip(starts[first].tolist(), ends[first].tolist(), n.tolist(), strict=True):
@@ -109,7 +119,7 @@ def distinct_words(docs: DataFrame, path: str) -> DataFrame:
             yield emit(held)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = WordSplitter(path)
+        splitter = splitter_of(path)
         for batch in batches:
             pieces = [splitter.count_pieces(w) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pieces, pa.int32())], names=["word", "n", "pieces"])
@@ -123,28 +133,28 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, hot: int = HOT)
     table = distinct_words(docs, path)
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # words of at least one in 16 * hot occurrences: there can't be more of them than that
-    often = table.where(F.col("n") * (16 * hot) >= total)
+    often = table.where(F.col("n") * (16 * hot) >= total).where(F.octet_length("word") <= HOT_BYTES)
     top = often.orderBy(F.desc("n"), "word").limit(hot).toPandas()
-    blob = b"".join(top["word"])
+    blob = np.frombuffer(b"".join(top["word"]), np.uint8)
     top_ends = np.cumsum([len(w) for w in top["word"]], dtype=np.int64)
     top_starts = top_ends - [len(w) for w in top["word"]] if len(top) else top_ends
-    keys = span_hashes(np.frombuffer(blob, np.uint8), top_starts, top_ends) if len(top) else np.zeros(0, np.uint64)
+    keys = span_hashes(blob, top_starts, top_ends) if len(top) else np.zeros(0, np.uint64)
     order = np.argsort(keys)
-    shared = docs.sparkSession.sparkContext.broadcast((keys[order], top["pieces"].to_numpy(np.int64)[order]))
+    shared = docs.sparkSession.sparkContext.broadcast((blob, top_starts[order], top_ends[order], keys[order], top["pieces"].to_numpy(np.int64)[order]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = WordSplitter(path)
-        keys, pieces = shared.value
+        splitter = splitter_of(path)
+        blob, hot_starts, hot_ends, keys, pieces = shared.value
         for batch in batches:
             for a, b, buf, off in chunks(batch):
                 low, starts, ends, row = splitter.split(buf, off)
                 n = b - a
-                h = span_hashes(low, starts, ends) if len(starts) else np.zeros(0, np.uint64)
-                first, group = unique(h)
-                hashes = h[first]
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-                    is_hot = keys[at] == hashes
+                first, group = groups(low, starts, ends)
+                if len(keys) and len(first):
+                    at = np.minimum(np.searchsorted(keys, span_hashes(low, starts[first], ends[first])), len(keys) - 1)
+                    size = ends[first] - starts[first]
+                    is_hot = size == hot_ends[at] - hot_starts[at]
+                    is_hot[is_hot] = same_spans(low, starts[first][is_hot], blob, hot_starts[at][is_hot], size[is_hot])
                     value = np.where(is_hot, pieces[at], 0)
                 else:
                     is_hot, value = np.zeros(len(first), bool), np.zeros(len(first), np.int64)
@@ -162,7 +172,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, hot: int = HOT)
                 )
 
     base = docs.select(row_key("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    each = base.mapInArrow(rows, "rid long, doc_id long, n_bytes long, hot long, rest array<struct<word: binary, times: long>>")
+    each = base.mapInArrow(rows, "rid binary, doc_id long, n_bytes long, hot long, rest array<struct<word: binary, times: long>>")
     spread = each.select("rid", "doc_id", "n_bytes", "hot", F.posexplode_outer("rest").alias("k", "item")).select("rid", "doc_id", "n_bytes", "hot", "k", "item.word", "item.times")
     joined = spread.join(table.select("word", "pieces"), "word", "left")
     # repeated rows share a key: each of them brought its words, and each gets a row

@@ -21,18 +21,19 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pieces import PieceIds, byte_letters, byte_pieces, odd_rows
+from .pieces import PieceIds, byte_letters, byte_pieces, odd_rows, spelt_out
 from .shared import partitions, written
-from .vec import CHUNK_BYTES, chunks, ranges
+from .vec import chunks, ranges
 
 BLOCK_IDS = 2_000_000
-ROUNDS = 5
+ENCODE_BYTES = 3_000_000
 RULES_PER_ROUND = 2048
 MIN_PAIRS = 16
 SYMBOLS = 1 << 16
@@ -40,6 +41,12 @@ SYMBOLS = 1 << 16
 BLOCK_SCHEMA = "shard int, block int, n_ids long, base int, doc_ids binary, doc_null binary, doc_sizes binary, rules binary, rule_sizes binary, sequence binary"
 
 
+@cache
+def encoder_of(path: str) -> LibraryEncoder:
+    """A worker loads its vocabulary once, for all its tasks."""
+    return LibraryEncoder(path)
+
+
 class LibraryEncoder:
     """The tokenizers library's ids of whole texts, each distinct piece encoded once."""
 
@@ -48,10 +55,10 @@ class LibraryEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.piece_ids = PieceIds(self.encode_piece)
+        self.piece_ids = PieceIds(self.encode_piece, limit=400_000)
 
     def encode_piece(self, raw: bytes) -> list[int]:
-        return [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.letters))]
+        return [t.id for t in self.model.tokenize(spelt_out(raw, self.letters))]
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = byte_pieces(buf, off)
@@ -78,18 +85,22 @@ def _pairs(seq: np.ndarray) -> np.ndarray:
     return (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
 
 
+SLOT_BITS = 18
+
+
 def _slot(pairs: np.ndarray) -> np.ndarray:
-    return (pairs * np.uint32(0x9E3779B1)) >> np.uint32(16)
+    return (pairs * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, per_round: int = RULES_PER_ROUND, least: int = MIN_PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, base: int, per_round: int = RULES_PER_ROUND, least: int = MIN_PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, rule sizes, sequence). Each round counts all pairs of symbols, gives the
-    most frequent ones a nonterminal each, and replaces them from left to right."""
+    most frequent ones a nonterminal each, and replaces them from left to right, until no
+    pair occurs ``least`` times or the symbols have run out."""
     seq = ids.astype(np.uint16)
     rules: list[np.ndarray] = []
     sizes = np.ones(SYMBOLS, np.uint32)
     made = 0
-    for _ in range(rounds):
+    while True:
         room = min(per_round, SYMBOLS - base - made)
         if len(seq) < 2 or room <= 0:
             break
@@ -104,8 +115,8 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, per_round: int =
         # one pair a slot, the most frequent; the others wait for the next round
         _, first = np.unique(_slot(chosen), return_index=True)
         chosen = chosen[np.sort(first)]
-        symbol = np.zeros(SYMBOLS, np.uint16)
-        holder = np.zeros(SYMBOLS, np.uint32)
+        symbol = np.zeros(1 << SLOT_BITS, np.uint16)
+        holder = np.zeros(1 << SLOT_BITS, np.uint32)
         symbol[_slot(chosen)] = np.arange(base + made, base + made + len(chosen))
         holder[_slot(chosen)] = chosen
         slot = _slot(pairs)
@@ -165,7 +176,7 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, base: int = 50257, end_id
     """Encode, order and compress; returns the written blocks, read from the shared folder."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = LibraryEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         waiting, shard, block = 0, 0, 0
 
@@ -183,7 +194,7 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, base: int = 50257, end_id
             null = np.asarray(keys.is_null())
             keys = keys.fill_null(0).to_numpy(zero_copy_only=False)
             shard = batch.column(2)[0].as_py() if batch.num_rows else shard
-            for a, b, buf, off in chunks(batch, limit=min(CHUNK_BYTES, block_ids)):
+            for a, b, buf, off in chunks(batch, limit=min(ENCODE_BYTES, block_ids)):
                 ids, sizes = encoder.encode(buf, off)
                 ends = np.cumsum(sizes)
                 held.append((np.insert(ids, ends, end_id).astype(np.uint16), sizes + 1, keys[a:b], null[a:b]))

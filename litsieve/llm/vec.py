@@ -4,8 +4,9 @@ Texts arrive as Arrow columns. Everything here works on one flat byte array for
 bounded run of documents (``chunks``), so that the memory of a task depends on
 ``CHUNK_BYTES`` and on the longest single text, never on the size of a partition.
 
-64-bit fingerprints are polynomial prefix hashes over a fixed random byte table,
-finished by an avalanche mix. They choose candidates and group equal strings.
+64-bit fingerprints absorb eight bytes at a time, with an avalanche mix between, so no
+structure of a text makes them collide; up to seven bytes they are one-to-one. They choose
+candidates. Where equal strings are taken as one (``groups``), their bytes are compared.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -37,9 +39,10 @@ _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least ``n`` of each."""
+    """Powers of the base and of its inverse, at least ``n`` of each (for the substrings of
+    a word that are no longer than a vocabulary's pieces)."""
     if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = max(n, 4096)
         for k, base in enumerate((_BASE, _INVERSE)):
             steps = np.full(size, base, U64)
             steps[0] = 1
@@ -96,13 +99,58 @@ def runs(member: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(starts), np.flatnonzero(ends)
 
 
+#: Spans longer than this are hashed one by one.
+LONG_SPAN = 256
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+
+
+def words_at(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on as one word; zeros follow the end."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Fingerprints of buf[starts:ends], equal for equal strings."""
-    n = len(buf)
-    power, inverse = powers(n + 1)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(BYTE_TABLE[buf] * power[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    size, word = ends - starts, words_at(buf)
+    h = mix((word[starts] & _MASK[np.minimum(size, 8)]) ^ (size.astype(U64) << U64(57)))
+    rest, k = np.flatnonzero((size > 8) & (size <= LONG_SPAN)), 8
+    while len(rest):
+        left = size[rest] - k
+        h[rest] = mix(h[rest] * U64(0xA24BAED4963EE407) + (word[starts[rest] + k] & _MASK[np.minimum(left, 8)]))
+        rest, k = rest[left > 8], k + 8
+    for r in np.flatnonzero(size > LONG_SPAN).tolist():
+        h[r] = xxhash.xxh3_64_intdigest(buf[starts[r] : ends[r]].tobytes())
+    return h
+
+
+def same_spans(left: np.ndarray, a: np.ndarray, right: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether left[a : a + size] and right[b : b + size] are the same bytes."""
+    out, x, y = np.ones(len(size), bool), words_at(left), words_at(right)
+    rest, k = np.flatnonzero((size > 0) & (size <= LONG_SPAN)), 0
+    while len(rest):
+        mask = _MASK[np.minimum(size[rest] - k, 8)]
+        same = (x[a[rest] + k] & mask) == (y[b[rest] + k] & mask)
+        out[rest[~same]] = False
+        rest, k = rest[same & (size[rest] > k + 8)], k + 8
+    for r in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[r] = np.array_equal(left[a[r] : a[r] + size[r]], right[b[r] : b[r] + size[r]])
+    return out
+
+
+def groups(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of one occurrence of each distinct string, group of each span), exactly:
+    what the fingerprints join is compared byte by byte."""
+    first, group = unique(span_hashes(buf, starts, ends))
+    of, size = first[group], ends - starts
+    # strings of up to seven bytes have fingerprints of their own
+    check = np.flatnonzero((of != np.arange(len(of))) & ((size > 7) | (size[of] > 7)))
+    if (size[check] == size[of[check]]).all() and same_spans(buf, starts[check], buf, starts[of[check]], size[check]).all():
+        return first, group
+    raw, number = buf.tobytes(), {}
+    group = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+    return np.unique(group, return_index=True)[1], group
 
 
 def unique(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

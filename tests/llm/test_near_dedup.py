@@ -46,15 +46,54 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize(("size", "percent", "small", "centres"), [(3, 85, 6, 16), (5, 80, 2, 1)])
-def test_equals_brute_force(spark, monkeypatch, size, percent, small, centres):
-    monkeypatch.setattr(near_dedup, "SMALL", small)
-    monkeypatch.setattr(near_dedup, "CENTRES", centres)
-    rows = near_rows()
+def same(spark, rows, size, percent):
     got = near_dedup.near_duplicates(frame(spark, rows), size, percent).collect()
     key = lambda x: tuple((y is None, y) for y in x)
-    want = brute(rows, size, percent)
-    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=key) == sorted(want, key=key)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=key) == sorted(brute(rows, size, percent), key=key)
+
+
+@pytest.mark.parametrize(("size", "percent"), [(3, 85), (5, 80)])
+def test_equals_brute_force(spark, size, percent):
+    same(spark, near_rows(), size, percent)
+
+
+def test_a_large_group_about_the_threshold(spark):
+    """Copies of one text with 0 to 14 random edits, some edits shared, some lines longer."""
+    rnd = random.Random(9)
+    words = [f"w{k}" for k in range(900)]
+    base = rnd.choices(words, k=150)
+    shared = {at: f"s{at}" for at in rnd.sample(range(150), 12)}
+    rows = []
+    for k in range(500):
+        copy = list(base)
+        for _ in range(rnd.randrange(15)):
+            at = rnd.randrange(150)
+            copy[at] = shared[at] if at in shared and rnd.random() < 0.8 else rnd.choice(words)
+        if k % 9 == 0:
+            copy += rnd.choices(words, k=rnd.randrange(20))
+        if k % 13 == 0:
+            del copy[: rnd.randrange(20)]
+        rows.append((k, " ".join(copy)))
+    same(spark, rows, 3, 85)
+
+
+def test_texts_that_defeat_polynomial_hashes_stay_apart(spark):
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word)]
+    same(spark, rows, 3, 85)
+
+
+def test_signatures_of_small_sets_agree_bin_by_bin():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    hits = []
+    for _ in range(300):
+        x = np.sort(rnd.integers(0, 2**63, 4).astype(np.uint64) * np.uint64(2))
+        hits.append((near_dedup.signature(x) == near_dedup.signature(x[1:])).mean())
+    assert abs(np.mean(hits) - 3 / 4) < 0.03
 
 
 def test_one_row_of_each_group_stays(spark):

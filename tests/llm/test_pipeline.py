@@ -50,3 +50,34 @@ def test_language_stage_without_labels_keeps_documents_with_letters(spark):
     docs = spark.createDataFrame([(1, "Plain words.", None), (2, "12 + 3", None), (3, None, None), (4, "été", None), (5, "", None)], "doc_id long, text string, lang string")
     got = corpus_pipeline.language_stage(spark, docs, "")
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [1, 4]
+
+
+def test_stages_take_clashing_columns_nulls_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    names = ["rid", "kept", "row", "lang_pred", "score", "nats", "component", "digest", "every", "nth", "shingles", "copy", "marks", "spans", "items", "id", "c", "t"]
+    rows = [(i, t, "en", "s", len(t or ""), *(f"{n}{i}" for n in names)) for i, t in [*texts(), (None, None), (7, "the one and only"), (7, "the one and only")]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    spark.createDataFrame([(1, None), (None, "the one and only text of them all, or so it was said")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for table in (rows, []):
+        docs = spark.createDataFrame(table, schema)
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+            out = f"{tmp_path}/{len(table)}-{k}"
+            stage(spark, docs, str(tmp_path)).write.parquet(out)
+            docs = spark.read.parquet(out)
+            assert docs.columns == [f.split()[0] for f in schema.split(", ")], name
+            for r in docs.collect():
+                assert all(r[n] == f"{n}{r.doc_id}" for n in names)
+        assert corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_language_stage_rejects_gibberish_and_keeps_clean_texts(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(-1, "xkqzj vbnmq wqzxk jhgfd qqzzx", None), (-2, "the town", None), (-3, "a", None), (-4, "aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQ=qqzzxxjj", None), (-5, None, None), (-6, "12 + 3", None)]
+    both = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    left = corpus_pipeline.language_stage(spark, both, "").select("doc_id")
+    assert sorted(r.doc_id for r in left.where("doc_id < 0").collect()) == [-3, -2]
+    gone = docs.where("lang is not null and text rlike '[a-z]'").join(left, "doc_id", "left_anti")
+    assert gone.count() == 0

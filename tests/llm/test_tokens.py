@@ -20,6 +20,10 @@ key = lambda x: tuple((y is None, y) for y in x)
 def odd_texts():
     rnd = random.Random(11)
     out = ["".join(rnd.choices(ALPHABET[: rnd.choice([16, len(ALPHABET)])], k=rnd.randint(0, 80))) for _ in range(300)]
+    word = "a"
+    for _ in range(11):  # two words that polynomial hashes modulo a power of two take as one
+        word += word.translate(str.maketrans("ab", "ba"))
+    out += [word, word.translate(str.maketrans("ab", "ba")), word + " " + word.translate(str.maketrans("ab", "ba"))]
     return out + ["a" * 3000, " " * 2000, "ab" * 1500 + " x", "日" * 1000, "\n" * 900 + "b"]
 
 
