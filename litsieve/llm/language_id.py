@@ -12,8 +12,9 @@ language, the first in the order of a hash of the doc_id, segmented by the vocab
 own library and smoothed. Nothing but these (at most vocabulary times languages) counts
 goes to the driver. Everything else covers all rows and whole texts.
 
-A distinct word of a chunk is scored once, words of one length in step. ``nats``, the
-log-probability a byte, tells texts of the learnt languages from gibberish and others.
+A distinct word of a chunk is scored once, words of one length in step. A background
+language, in which all pieces are equally probable, tells texts of the learnt languages
+from gibberish and other languages; it takes no part in the prediction.
 
 Defined cases: ``und`` with score 0 if a text is null or has no letter, or if nothing
 could be learnt; rows with null doc_id or lang aren't learnt from and are predicted as
@@ -42,10 +43,10 @@ HELD_WORDS = 1 << 17
 TABLE_BITS = 18
 #: Numbers of a forward pass (words times bytes times languages) that are held at once.
 STEP_CELLS = 500_000
-#: Nats a byte below which a text is of none of the learnt languages, after an allowance
-#: of so many nats, as a few letters tell nothing.
-LEAST_NATS, ALLOWANCE = -7.0, 20.0
-_PREDICTION = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("nats", pa.float64())])
+#: A text is of none of the learnt languages if the background, in which all pieces are
+#: equally probable, is likelier by so many nats.
+BACKGROUND_NATS = 10.0
+_PREDICTION = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64())])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -134,6 +135,10 @@ def vocabulary_of(path: str) -> Vocabulary:
     return out
 
 
+def with_background(probability: np.ndarray) -> np.ndarray:
+    return np.column_stack([probability, np.full(len(probability), 1 / len(probability))])
+
+
 class Scorer:
     """Scores texts; a direct-mapped cache of ``HELD_WORDS`` words keeps what it has scored."""
 
@@ -159,11 +164,11 @@ class Scorer:
         self.held[slot[missing]], self.value[slot[missing]] = h[missing], out[missing]
         return out
 
-    def texts(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(log-probability by language, bytes scored, whether there is a letter) of each row."""
+    def texts(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log-probability by language, whether there is a letter) of each row."""
         n = len(off) - 1
         low = LOWER[buf]
-        total, scored = np.zeros((n, self.probability.shape[1])), np.zeros(n)
+        total = np.zeros((n, self.probability.shape[1]))
         starts, ends, bounds = ascii_words(low, off)
         if len(starts):
             first, group = groups(low, starts, ends)
@@ -171,12 +176,11 @@ class Scorer:
             row = np.repeat(np.arange(n), np.diff(bounds))
             for k in range(total.shape[1]):
                 total[:, k] = np.bincount(row, weights=each[group, k], minlength=n)
-            scored = np.bincount(row, weights=ends - starts + 1, minlength=n)
         plain = np.append(0, np.cumsum((low >= 97) & (low <= 122)))
         letter = plain[off[1:]] > plain[off[:-1]]
         for r in np.flatnonzero(~letter & (off[1:] > off[:-1])).tolist():
             letter[r] = any(c.isalpha() for c in buf[off[r] : off[r + 1]].tobytes().decode("utf-8", "replace"))
-        return total, scored, letter
+        return total, letter
 
 
 def learn(docs: DataFrame, vocabulary_path: str, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
@@ -210,45 +214,47 @@ def learn(docs: DataFrame, vocabulary_path: str, sample_docs: int = SAMPLE_DOCS)
 
 
 def prediction(spark: SparkSession, text: Column, langs: list[str], probability: np.ndarray, vocabulary_path: str) -> Column:
-    """lang_pred, score and nats (log-probability a byte under that language after ``ALLOWANCE``, null for ``und``) of a text column. Only texts go to Python: what else a row has stays where it is."""
+    """lang_pred, score and margin (how many nats likelier that language is than the
+    background, null for ``und``) of a text column. Only texts go to Python: what else a row has stays where it is."""
     shared = spark.sparkContext.broadcast(probability)
 
     def predict(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = Scorer(vocabulary_of(vocabulary_path), shared.value) if langs else None
+        scorer = Scorer(vocabulary_of(vocabulary_path), with_background(shared.value)) if langs else None
         for array in arrays:
             parts = [pa.array([], _PREDICTION)]
             buf, off = text_buffers(array)
             for a, b in row_runs(off):
                 if scorer:
-                    logs, scored, letter = scorer.texts(buf[off[a] : off[b]], off[a : b + 1] - off[a])
+                    logs, letter = scorer.texts(buf[off[a] : off[b]], off[a : b + 1] - off[a])
+                    logs, background = logs[:, :-1], logs[:, -1]
                     best, most = logs.argmax(1), logs.max(1)
                     score = 1 / np.exp(logs - most[:, None]).sum(1)
-                    nats = np.minimum(0, most + ALLOWANCE) / np.maximum(scored, 1)
+                    margin = most - background
                 else:
-                    best, letter, score, nats = np.zeros(b - a, int), np.zeros(b - a, bool), np.zeros(b - a), np.zeros(b - a)
+                    best, letter, score, margin = np.zeros(b - a, int), np.zeros(b - a, bool), np.zeros(b - a), np.zeros(b - a)
                 names = [langs[k] if ok else "und" for k, ok in zip(best.tolist(), letter.tolist(), strict=True)]
-                columns = [pa.array(names, pa.string()), pa.array(np.where(letter, score, 0.0)), pa.array(nats, mask=~letter)]
+                columns = [pa.array(names, pa.string()), pa.array(np.where(letter, score, 0.0)), pa.array(margin, mask=~letter)]
                 parts.append(pa.StructArray.from_arrays(columns, fields=list(_PREDICTION)))
             yield pa.concat_arrays(parts)
 
     predict.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf("lang_pred string, score double, nats double")(predict)(text)
+    return F.arrow_udf("lang_pred string, score double, margin double")(predict)(text)
 
 
 def identify(docs: DataFrame, vocabulary_path: str, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Per row: doc_id, held_out, lang_pred, score, nats."""
+    """Per row: doc_id, held_out, lang_pred, score, margin."""
     langs, probability = learn(docs, vocabulary_path, sample_docs)
     found = prediction(docs.sparkSession, F.col("text"), langs, probability, vocabulary_path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("found"))
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "found.lang_pred", "found.score", "found.nats")
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "found.lang_pred", "found.score", "found.margin")
 
 
-def accepted(docs: DataFrame, vocabulary_path: str, sample_docs: int = SAMPLE_DOCS, least_nats: float = LEAST_NATS) -> DataFrame:
-    """The rows of docs that are of a learnt language: they have letters, and a byte's
-    log-probability under the predicted language is at least ``least_nats`` on average.
-    If nothing could be learnt, those with letters."""
+def accepted(docs: DataFrame, vocabulary_path: str, sample_docs: int = SAMPLE_DOCS, background_nats: float = BACKGROUND_NATS) -> DataFrame:
+    """The rows of docs that are of a learnt language: they have letters, and the background
+    isn't ``background_nats`` likelier than the predicted language (so a few letters, which
+    tell nothing, stay). If nothing could be learnt, those with letters."""
     langs, probability = learn(docs, vocabulary_path, sample_docs)
     if not langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     found = prediction(docs.sparkSession, F.col("text"), langs, probability, vocabulary_path)
-    return docs.where(F.coalesce(found["nats"] >= least_nats, F.lit(False)))
+    return docs.where(F.coalesce(found["margin"] >= -background_nats, F.lit(False)))

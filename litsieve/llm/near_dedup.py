@@ -210,15 +210,17 @@ def similar(x: str, y: str, percent: int) -> str:
 
 def star_rays(keyed: DataFrame) -> DataFrame:
     """c, id, nc, n: the centre and another class of a bucket, with their sizes, once each.
-    A bucket's centre is who meets most others."""
+    A bucket's centre is who meets most others. keyed, a written table, is deleted."""
     sizes = written(keyed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
-    shared = written(keyed.join(sizes, "bucket"), "shared")
+    shared = written(keyed.join(sizes, "bucket"), "shared", settle=True)
+    discard(sizes, keyed)
     popular = written(shared.groupBy("id").agg(F.sum("members").alias("met")), "popular")
     met = written(shared.join(popular, "id").select("bucket", "id", "n", F.struct((-F.col("met")).alias("rank"), "id", "n").alias("key")), "members")
+    discard(shared, popular)
     heads = written(met.groupBy("bucket").agg(F.min("key").alias("head")), "heads")
     rays = met.join(heads, "bucket").where("id <> head.id").select(F.col("head.id").alias("c"), "id", F.col("head.n").alias("nc"), "n").distinct()
-    out = written(rays, "rays")
-    discard(sizes, shared, popular, met, heads)
+    out = written(rays, "rays", settle=True)
+    discard(met, heads)
     return out
 
 
@@ -289,7 +291,7 @@ def linked_classes(texts: DataFrame, size: int, percent: int) -> DataFrame:
     if mixed.isEmpty():
         return label
     sets = sets_of(texts, mixed.select("id").union(mixed.select("c")), size)
-    apart = written(differences(mixed, sets), "differences")
+    apart = written(differences(mixed, sets), "differences", settle=True)
     new = written(ray_pairs(apart, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
     discard(apart, mixed, named, rays)
     if new.isEmpty():
@@ -312,7 +314,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = some.groupBy("digest").agg(F.min(F.struct("doc_id", "rid")).alias("first"))
     # numbered once, in the written table: an id names one class
     classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "digest", "first.doc_id", "first.rid"), "classes")
-    texts = written(base.join(classes.select("rid", "id"), "rid").select("id", "text").dropDuplicates(["id"]), "texts")
+    texts = written(base.join(classes.select("rid", "id"), "rid").dropDuplicates(["rid"]).select("id", "text"), "texts", settle=True)
     label = linked_classes(texts, size, percent)
     of = classes.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = of.groupBy("component").agg(F.min(F.struct("doc_id", "rid")).alias("head"))
