@@ -32,9 +32,9 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without text or letters go, and rows whose text has under every learnt language
-    less than the documented probability a byte (see ``language_id.accepted``): gibberish,
-    or a language that no label taught. Null doc_ids and langs aren't learnt from and are
+    """Rows without text or letters go, and rows whose text is likelier random pieces than of
+    any learnt language, by a documented margin (see ``language_id.accepted``): gibberish, or
+    a language that no label taught. Null doc_ids and langs aren't learnt from and are
     judged as any others; repeated rows are judged alike. Without any labels, rows with
     letters stay."""
     return language_id.accepted(docs, public_tokenizers.path("piece_bpe_32k.model"))
