@@ -32,7 +32,7 @@ rows; a text of any length is one set; other columns are not read, whatever thei
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -154,11 +154,6 @@ def set_rows(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(rows, "id long, shingles binary")
 
 
-def sets_of(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """The sets of classes (id), written."""
-    return written(set_rows(texts.join(ids.distinct(), "id", "left_semi"), size), "sets")
-
-
 def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b, ...) with the sets left and right."""
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
@@ -275,12 +270,16 @@ def ray_pairs(apart: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def linked_classes(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """id, component of the classes (id, text) that are linked with another."""
-    rays = star_rays(written(bucket_rows(texts, size), "bands"))
+def linked_classes(texts: Callable[[DataFrame], DataFrame], classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """id, component of the classes (id) that are linked with another; texts gives id, text of
+    some of the classes."""
+    rays = star_rays(written(bucket_rows(texts(classes), size), "bands", settle=True))
+    # all that is compared from here on is a ray or a centre
+    ids = rays.select("id").union(rays.select("c")).distinct()
+    sets = written(set_rows(texts(classes.join(ids, "id", "left_semi")), size), "sets", settle=True)
     stars = rays.where(similar("n", "nc", percent)).select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct()
     stars = written(stars, "pairs")
-    links = confirmed(stars, sets_of(texts, ends(stars), size), percent)
+    links = confirmed(stars, sets, percent)
     label = components(links)
     # centres with rays of several components
     named = rays.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -288,23 +287,15 @@ def linked_classes(texts: DataFrame, size: int, percent: int) -> DataFrame:
     named = written(named.join(at, "c", "left").withColumn("at", F.coalesce("at", "c")), "named")
     several = named.groupBy("c").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("c")
     mixed = written(named.join(several, "c", "left_semi").select("c", "id", "nc", "n", "component", "at"), "mixed")
-    if mixed.isEmpty():
-        return label
-    sets = sets_of(texts, mixed.select("id").union(mixed.select("c")), size)
+    discard(named, rays)
     apart = written(differences(mixed, sets), "differences", settle=True)
     new = written(ray_pairs(apart, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
-    discard(apart, mixed, named, rays)
-    if new.isEmpty():
-        return label
-    # the sets of new's members are among those of mixed
+    discard(apart, mixed)
     fresh = confirmed(new, sets, percent)
+    discard(sets, new, stars)
     return label if fresh.isEmpty() else components(links.unionByName(fresh))
 
 
-def ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-
-
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept, the row's key, and whether it leads
     its group."""
@@ -314,8 +305,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = some.groupBy("digest").agg(F.min(F.struct("doc_id", "rid")).alias("first"))
     # numbered once, in the written table: an id names one class
     classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "digest", "first.doc_id", "first.rid"), "classes")
-    texts = written(base.join(classes.select("rid", "id"), "rid").dropDuplicates(["rid"]).select("id", "text"), "texts", settle=True)
-    label = linked_classes(texts, size, percent)
+    # repeated rows share a key: one of them is read
+    texts = lambda some: base.join(some.select("rid", "id"), "rid").dropDuplicates(["rid"]).select("id", "text")
+    label = linked_classes(texts, classes, size, percent)
     of = classes.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = of.groupBy("component").agg(F.min(F.struct("doc_id", "rid")).alias("head"))
     by_digest = of.join(least, "component").select("digest", "head")

@@ -75,7 +75,7 @@ def test_language_stage_rejects_gibberish_and_keeps_clean_texts(spark):
     import corpus_pipeline
 
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
-    odd = [(-1, "xkqzj vbnmq wqzxk jhgfd qqzzx", None), (-2, "the town", None), (-3, "a", None), (-4, "aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQ=qqzzxxjj", None), (-5, None, None), (-6, "12 + 3", None)]
+    odd = [(-1, "xkqzj vbnmq wqzxk jhgfd qqzzx " * 3, None), (-2, "the town", None), (-3, "a", None), (-4, "aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQ=qqzzxxjj", None), (-5, None, None), (-6, "12 + 3", None)]
     both = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
     left = corpus_pipeline.language_stage(spark, both, "").select("doc_id")
     assert sorted(r.doc_id for r in left.where("doc_id < 0").collect()) == [-3, -2]
