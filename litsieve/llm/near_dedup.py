@@ -184,18 +184,22 @@ def components(links: DataFrame) -> DataFrame:
     """id, component (its least member) of everything in links (a, b)."""
     edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = written(edges.distinct(), "links")
-    table = written(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "labels")
+    label = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component"))
+    table = None
     while True:
-        label = table.select("id", "component")
-        near = edges.join(label.select(F.col("id").alias("b"), F.col("component").alias("seen")), "b").groupBy(F.col("a").alias("id")).agg(F.min("seen").alias("seen"))
-        hooked = label.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "seen").alias("component"))
-        above = label.select(F.col("id").alias("component"), F.col("component").alias("above"))
-        new = written(hooked.join(above, "component").select("id", "was", F.col("above").alias("component")), "labels")
-        discard(table)
-        table = new
+        now = label.withColumn("was", F.col("component"))
+        for _ in range(2):  # two steps a round: most groups are stars
+            near = edges.join(now.select(F.col("id").alias("b"), F.col("component").alias("seen")), "b").groupBy(F.col("a").alias("id")).agg(F.min("seen").alias("seen"))
+            hooked = now.join(near, "id").select("id", "was", F.least("component", "seen").alias("component"))
+            above = now.select(F.col("id").alias("component"), F.col("component").alias("above"))
+            now = hooked.join(above, "component").select("id", "was", F.col("above").alias("component"))
+        new = written(now, "labels")
+        if table is not None:
+            discard(table)
+        table, label = new, new.select("id", "component")
         if new.where("was <> component").isEmpty():
             discard(edges)
-            return new.select("id", "component")
+            return label
 
 
 def similar(x: str, y: str, percent: int) -> str:
@@ -206,16 +210,15 @@ def similar(x: str, y: str, percent: int) -> str:
 def star_rays(keyed: DataFrame) -> DataFrame:
     """c, id, nc, n: the centre and another class of a bucket, with their sizes, once each.
     A bucket's centre is who meets most others. keyed, a written table, is deleted."""
-    sizes = written(keyed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     shared = written(keyed.join(sizes, "bucket"), "shared", settle=True)
-    discard(sizes, keyed)
-    popular = written(shared.groupBy("id").agg(F.sum("members").alias("met")), "popular")
+    discard(keyed)
+    popular = shared.groupBy("id").agg(F.sum("members").alias("met"))
     met = written(shared.join(popular, "id").select("bucket", "id", "n", F.struct((-F.col("met")).alias("rank"), "id", "n").alias("key")), "members")
-    discard(shared, popular)
-    heads = written(met.groupBy("bucket").agg(F.min("key").alias("head")), "heads")
+    heads = met.groupBy("bucket").agg(F.min("key").alias("head"))
     rays = met.join(heads, "bucket").where("id <> head.id").select(F.col("head.id").alias("c"), "id", F.col("head.n").alias("nc"), "n").distinct()
     out = written(rays, "rays", settle=True)
-    discard(met, heads)
+    discard(shared, met)
     return out
 
 
@@ -278,21 +281,17 @@ def linked_classes(texts: Callable[[DataFrame], DataFrame], classes: DataFrame,
     ids = rays.select("id").union(rays.select("c")).distinct()
     sets = written(set_rows(texts(classes.join(ids, "id", "left_semi")), size), "sets", settle=True)
     stars = rays.where(similar("n", "nc", percent)).select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct()
-    stars = written(stars, "pairs")
     links = confirmed(stars, sets, percent)
     label = components(links)
     # centres with rays of several components
     named = rays.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     at = label.select(F.col("id").alias("c"), F.col("component").alias("at"))
-    named = written(named.join(at, "c", "left").withColumn("at", F.coalesce("at", "c")), "named")
+    named = written(named.join(at, "c", "left").withColumn("at", F.coalesce("at", "c")), "rays")
     several = named.groupBy("c").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("c")
-    mixed = written(named.join(several, "c", "left_semi").select("c", "id", "nc", "n", "component", "at"), "mixed")
-    discard(named, rays)
+    mixed = named.join(several, "c", "left_semi").select("c", "id", "nc", "n", "component", "at")
     apart = written(differences(mixed, sets), "differences", settle=True)
-    new = written(ray_pairs(apart, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
-    discard(apart, mixed)
-    fresh = confirmed(new, sets, percent)
-    discard(sets, new, stars)
+    fresh = confirmed(ray_pairs(apart, percent).join(stars, ["a", "b"], "left_anti"), sets, percent)
+    discard(apart, named, rays, sets)
     return label if fresh.isEmpty() else components(links.unionByName(fresh))
 
 
