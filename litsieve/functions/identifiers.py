@@ -108,9 +108,9 @@ def suffix(index: Column) -> Column:
     return F.concat(F.repeat(F.lit("a"), F.floor(index / 26).cast("int")), letter)
 
 
-def resolve_cite_keys(df: DataFrame, base: str = "base_key", order: str = "ord", taken: DataFrame | None = None, rounds: int = 8) -> DataFrame:
+def resolve_cite_keys(df: DataFrame, base: str = "base_key", order: str = "ord", taken: DataFrame | None = None) -> DataFrame:
     """Adds cite_key: the first row of a base keeps it (unless taken), others get the next
-    free suffix. Suffixed keys that are someone's base are skipped in further rounds."""
+    free suffix. Keys that are taken, or someone's base, are skipped, however many."""
     busy = df.select(F.col(base).alias("cite_key")).distinct()
     if taken is not None:
         busy = busy.unionByName(taken.select("cite_key")).distinct()
@@ -119,9 +119,13 @@ def resolve_cite_keys(df: DataFrame, base: str = "base_key", order: str = "ord",
     if taken is not None:
         known = taken.select(F.col("cite_key").alias(base), F.lit(1).alias("_taken")).distinct()
         out = out.join(known, base, "left").withColumn("_rank", F.col("_rank") + F.coalesce("_taken", F.lit(0))).drop("_taken")
-    # free suffixes of each base that is in demand, in order
     need = out.groupBy(base).agg(F.max("_rank").alias("need")).where("need > 0")
-    letters = need.select(base, F.explode(F.expr(f"sequence(0, need + {rounds})")).alias("index")).withColumn("cite_key", F.concat(base, suffix(F.col("index"))))
+    # a busy key counts for every base that it extends by letters: as many more suffixes are tried
+    letters_at_end = F.length(F.regexp_extract("cite_key", "([a-z]*)$", 1))
+    extends = busy.where(letters_at_end > 0).select(F.explode(F.transform(F.sequence(F.lit(1), letters_at_end), lambda n: F.expr("cite_key").substr(F.lit(1), F.length("cite_key") - n))).alias(base))
+    need = need.join(extends.groupBy(base).agg(F.count("*").alias("more")), base, "left")
+    indexes = F.sequence(F.lit(0).cast("long"), F.col("need") + F.coalesce("more", F.lit(0)))
+    letters = need.select(base, F.explode(indexes).alias("index")).withColumn("cite_key", F.concat(base, suffix(F.col("index"))))
     free = letters.join(busy, "cite_key", "left_anti")
     free = free.withColumn("_rank", F.row_number().over(Window.partitionBy(base).orderBy("index"))).select(base, "_rank", "cite_key")
     return out.join(free, [base, "_rank"], "left").withColumn("cite_key", F.coalesce("cite_key", base)).drop("_rank")

@@ -94,8 +94,8 @@ def normalize_keywords(x: Column) -> Column:
 
 
 def normalize_year(x: Column) -> Column:
-    """The first number of four digits, if from 1000 to 2100."""
-    year = F.regexp_extract(x.cast("string"), r"(?:^|[^0-9])([0-9]{4})(?:$|[^0-9])", 1)
+    """The first word of four digits, if from 1000 to 2100."""
+    year = F.regexp_extract(x.cast("string"), r"\b([0-9]{4})\b", 1)
     number = F.when(year != "", year.cast("int"))
     return F.when(number.between(1000, 2100), number)
 

@@ -22,13 +22,14 @@ CANONICAL = {
     "keywords": ["keywords", "key words", "key terms", "keywords and phrases"],
     "introduction": ["introduction", "context", "overview"],
     "background": ["background", "background and context", "theoretical background", "conceptual background"],
-    "research_question": ["research question", "research questions", "research objectives", "research aims"],
+    "research_question": ["research question", "research questions", "research objectives", "research aims", "research questions:"],
     "literature": ["literature review", "related work", "theoretical framework", "literature"],
     "methods": ["methods", "methodology", "research design", "approach", "technical approach", "materials and methods"],
     "findings": ["results", "findings", "results and discussion", "analysis", "empirical results", "evaluation"],
     "conclusion": ["conclusion", "conclusions", "summary", "concluding remarks"],
 }
-# Names of sections that stand on a line of their own, s? marking plurals.
+# Names of sections that stand on a line of their own, by rules of our own: one regular
+# expression a name, s? marking plurals.
 HEADERS = [
     "Abstracts?", "Executive Summary", "Introduction", "Background", "Literature Review", "Related Work", "Theoretical Framework", "Conceptual Framework", "Research Questions?", "Hypothes[ei]s", "Methods?", "Methodology",
     "Materials? and Methods?", "Research Methods?", "Research Design", "Experimental Design", "Data Collection", "Data Analysis", "Analytical Approach", "Case Study", "Sample", "Participants?", "Results?", "Findings?", "Empirical Results?",
@@ -64,15 +65,33 @@ def header_pattern() -> re.Pattern:
     return re.compile("^(?:" + "|".join(shapes) + r")$|^(?P<words>Keywords?(?:\s+and\s+Phrases)?):?", re.IGNORECASE)
 
 
+# Words of headers that belong to the journal or the publisher.
+IMPRINT = [
+    "journal", "issn", "doi", "homepage", "correspondence", "department", "university", "affiliation", "institute", "group", "psychology", "ergonomics", "aesthetics", "url", "https://", "www.", "@",
+    "research", "license", "supplementary", "article", "terms", "conditions", "access", "open access",
+]
+
+
+def canonical(title: str) -> str | None:
+    """The first canonical section one of whose names contains the title or is in it."""
+    title = title.lower().strip()
+    return next((group for group, names in CANONICAL.items() if any(n in title or title in n for n in names)), None)
+
+
+def is_imprint(title: str) -> bool:
+    return len(title) < 5 or any(w in title.lower() for w in IMPRINT)
+
+
 def sections_of(text: str) -> list[dict]:
-    """Lines under their headers; what comes before the first header is dropped only if
-    it is blank. Research questions written as RQ1: get a section of their own."""
+    """Lines under their headers; what comes before the first header is dropped. A title is
+    the longest text above the abstract that isn't the journal's or the publisher's, if no
+    section is one. Research questions written as RQ1: get a section of their own."""
     found: list[dict] = []
     title, lines = None, []
 
     def close() -> None:
-        if title is not None or lines:
-            found.append({"title": title or "preamble", "content": "\n".join(lines)})
+        if title is not None:
+            found.append({"title": title, "content": "\n".join(lines)})
 
     for line in map(str.strip, text.split("\n")):
         m = header_pattern().match(line) if line else None
@@ -84,6 +103,11 @@ def sections_of(text: str) -> list[dict]:
         elif line:
             lines.append(line)
     close()
+    groups = [canonical(s["title"]) for s in found]
+    if "title" not in groups and "abstract" in groups:
+        above = [s["content"].strip() for s in found[: groups.index("abstract")] if not is_imprint(s["title"])]
+        if above := [c for c in above if len(c) > 20]:
+            found.insert(0, {"title": "title", "content": " ".join(max(above, key=len).split())})
     out = []
     for s in found:
         if re.search(r"abstract\s+key\s?words", s["title"], re.IGNORECASE):

@@ -10,8 +10,6 @@ JVM before the pairwise comparison.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
 
@@ -22,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions.identifiers import doi_stem
 from ..functions.text import dedup_title
+from ..storage import written
 
 #: Open edges that the driver resolves at most, a few MB.
 AT_ONCE = 100_000
@@ -75,19 +74,6 @@ def length_bands(threshold: float) -> list[Column]:
     return [F.concat(F.lit("a"), F.floor(scale).cast("string")), F.concat(F.lit("b"), F.floor(scale + 0.5).cast("string"))]
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: a table in ``spark.checkpoint.dir``, or in a folder of our own if it
-    is unset."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = f"file://{tempfile.mkdtemp(prefix='litsieve-')}"
-        spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared.rstrip('/')}/dedup-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def in_order(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """(ord, target) of open edges, one row after another."""
     found: dict[int, int] = {}

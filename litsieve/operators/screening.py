@@ -144,16 +144,20 @@ def not_predicate(value: str | Mapping[str, str]) -> str | None:
 
 
 def metadata_reason(rules: Mapping[str, object], columns: Mapping[str, str] | None = None) -> Column:
-    """The first failing rule in the order given, or null. Values match as substrings in
-    any case; a missing value passes, but for doi_not_set."""
-    columns = {"language": "language", "paper_types": "paper_type", "quality_tier": "quality_tier", "doi": "doi"} | dict(columns or {})
+    """The first failing rule in the order given, or null; of one field's, values to exclude
+    come before the one to keep. Values match as substrings in any case; a missing value
+    passes, but for doi_not_set, and a missing language is English. quality_tier counts only
+    if ``columns`` names its column."""
+    columns = {"language": "language", "paper_types": "paper_type", "doi": "doi"} | dict(columns or {})
     reasons = []
     for field, values in rules.items():
         if field == "doi_not_set":
             reasons.append(F.when(F.lit(bool(values)) & F.coalesce(F.trim(columns["doi"]) == "", F.lit(True)), F.lit("doi_not_set")))
-        elif field in ("language", "paper_types"):
+        elif field in ("language", "paper_types", "quality_tier") and field in columns:
             x = F.col(columns[field])
-            for v in values if isinstance(values, list) else [values]:
+            x = F.when(F.coalesce(x, F.lit("")) == "", "en").otherwise(x) if field == "language" else F.when(x != "", x)
+            values = values if isinstance(values, list) else [values]
+            for v in sorted(values, key=lambda v: not_predicate(v) is not None):
                 wanted = not_predicate(v)
                 bad = ~F.contains(F.lower(x), F.lit(wanted.lower())) if wanted else F.contains(F.lower(x), F.lit(str(v).lower()))
                 reasons.append(F.when(x.isNotNull() & bad, F.concat(F.lit(f"{field}: "), x)))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identifiers import doi_stem
 from ..functions.text import title_key
+from ..schema import decision, is_duplicate, is_excluded, is_included
 
 
 def contains(x: Column, term: str) -> Column:
@@ -68,6 +69,26 @@ class Query:
             condition = condition | contains(F.col(c), term)
         return self.filter(condition)
 
+    def sidebar(self, term: str) -> Query:
+        """A term in the title (or else the key), names, journal, year, DOI, tags or research
+        questions, of those that the table has."""
+        have = set(self.df.columns)
+        text = [F.when(F.coalesce("title", F.lit("")) == "", F.col("cite_key")).otherwise(F.col("title")) if "cite_key" in have else F.col("title")]
+        if "authors" in have:
+            text.append(F.array_join(F.transform("authors", lambda a: F.concat_ws(" ", a["family_name"], a["given_name"])), " "))
+        text += [F.col(c).cast("string") for c in ("journal", "year", "doi", "tags", "research_questions") if c in have]
+        condition = F.lit(False)
+        for x in text:
+            condition = condition | contains(x, term)
+        return self.filter(condition)
+
+    def show(self, what: str = "all") -> Query:
+        """The named filters of the console."""
+        named = {"manual": lambda: decision() == "manual_review", "included": is_included, "excluded": is_excluded, "duplicates": is_duplicate, "all": lambda: F.lit(True)}
+        if what not in named:
+            raise ValueError(f"unknown filter {what}")
+        return self.filter(named[what]())
+
     def exclude_duplicates(self) -> Query:
         return self.filter(F.col("duplicate_of").isNull())
 
@@ -177,5 +198,41 @@ def patch(df: DataFrame, patches: DataFrame, key: str, replaced: Sequence[str] =
     return out.select(*df.columns)
 
 
+def mark_duplicates(df: DataFrame, marks: DataFrame, key: str = "id") -> DataFrame:
+    """marks (key, duplicate_of); a null duplicate_of makes the paper primary again. A mark
+    whose paper, or whose primary paper, isn't in the table fails when the result is used."""
+    known = df.select(F.col(key).alias("_key"))
+    there = marks.select(F.col(key).alias("_of"), F.col("duplicate_of").alias("_to"))
+    lost = there.join(known, F.col("_of") == F.col("_key"), "left_anti").select(F.col("_of").alias("_lost"))
+    lost = lost.union(there.where("_to is not null").join(known, F.col("_to") == F.col("_key"), "left_anti").select("_to")).agg(F.first("_lost").alias("_lost"))
+    out = df.join(there, F.col(key) == F.col("_of"), "left").crossJoin(F.broadcast(lost))  # one row
+    mark = F.when(F.col("_lost").isNotNull(), F.raise_error(F.concat(F.lit("no paper "), F.col("_lost").cast("string"))).cast("string"))
+    changed = mark.otherwise(F.when(F.col("_of").isNotNull(), F.col("_to").cast("string")).otherwise(F.col("duplicate_of")))
+    return out.withColumn("duplicate_of", changed).select(*df.columns)
+
+
+def duplicates_of(df: DataFrame, key: str) -> DataFrame:
+    """The papers marked as duplicates of one."""
+    return df.where(F.col("duplicate_of") == key)
+
+
+def touched(df: DataFrame, changed: Column, column: str = "updated_at") -> DataFrame:
+    """Sets the time of update where rows change."""
+    return df.withColumn(column, F.when(changed, F.current_timestamp()).otherwise(F.col(column)))
+
+
+def json_paths(df: DataFrame, key: str, record: str) -> DataFrame:
+    """key, field, value: every leaf of a flat or nested JSON object of text values."""
+    top = df.select(key, F.explode(F.from_json(record, "map<string,string>")).alias("field", "value"))
+    inner = top.where("value like '{%'").select(key, "field", F.explode(F.from_json("value", "map<string,string>")).alias("f", "v"))
+    return top.where("value is null or value not like '{%'").unionByName(inner.select(key, F.concat_ws(".", "field", "f").alias("field"), F.col("v").alias("value")))
+
+
+def json_search(df: DataFrame, key: str, record: str, term: str) -> DataFrame:
+    """The leaves whose name or value has the term."""
+    found = json_paths(df, key, record)
+    return found.where(contains(F.col("field"), term) | contains(F.col("value"), term))
+
+
 def split_tags(x: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(x, ":"), F.trim), lambda t: t != ""))

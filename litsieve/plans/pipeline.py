@@ -20,6 +20,7 @@ from ..functions.identifiers import cite_key_base, resolve_cite_keys
 from ..operators import chunks, dedup, graph, reports, screening, table
 from ..schema import PAPER, conform, decision, is_duplicate, is_excluded, is_included, is_primary, set_screening
 from ..sources import bibliographic, sinks
+from ..storage import shared_folder, written
 
 
 class Halt(Exception):
@@ -86,7 +87,7 @@ def input_step(df, ctx, path, strict=False, **more):
 
 def load_files(df, ctx, path, pattern="*.pdf", **more):
     found = bibliographic.scan_files(ctx.spark, path, pattern).where("doi is not null")
-    rows = found.select((F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("ord"), "doi", F.col("path").alias("pdf_path"))
+    rows = found.orderBy("path").select(F.monotonically_increasing_id().alias("ord"), "doi", F.col("path").alias("pdf_path"))  # ids follow the sort
     from ..functions.identifiers import doi_key
 
     return ingest(df, conform(rows.withColumn("id", doi_key(F.col("doi"))).withColumn("cite_key", F.col("id"))), ctx=ctx, **more)
@@ -111,30 +112,34 @@ def deduplication(df, ctx, methods=({"method": "doi_exact"}, {"method": "title_a
 
 
 def sinks_cut(ctx: Context, df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration in the folder that the cluster shares, if any."""
-    shared = ctx.spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        return df
-    if not ctx.spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        ctx.spark.sparkContext.setCheckpointDir(shared)
-    return df.checkpoint()
-
-
-def citations(df, ctx, direction="backward", iterations=1, min_year=None, **_):
-    """Links papers by DOI along fetched citation lists and gives what is reached from
-    included seeds an iteration. Papers that aren't in the table come from ``fetched``."""
-    new_edges = graph.edges(df)
-    ctx.edges = new_edges
+    """Cuts the lineage of an iteration in the folder that the cluster shares."""
+    return written(df, "iteration")
+
+
+def citations(df, ctx, direction="backward", iterations=1, min_year=None, included_only=True, screening=None, **_):
+    """An iteration takes the papers found by the last one (first the seeds), follows their
+    citations (forward: who cites them) and adds what ``fetched`` knows and the table doesn't;
+    the edges of added papers count in the next one. Seeds are included papers, or all that
+    aren't excluded. Added papers go on unless excluded; with a screening template, which runs
+    on each iteration's table, only included ones do."""
     forward = direction == "forward"
-    seeds = df.where(is_included() & F.col("doi").isNotNull()).select(F.col("doi").alias("id"))
-    reached = graph.snowball(seeds, new_edges, 1 if forward else iterations, forward, cut=lambda x: sinks_cut(ctx, x))
-    if ctx.fetched is not None:
-        wanted = reached.where("iteration > 0").join(df.select(F.col("doi").alias("id")), "id", "left_anti")
-        found = conform(ctx.fetched).join(wanted.select(F.col("id").alias("doi"), "iteration"), "doi")
+    a, b = ("cited", "citing") if forward else ("citing", "cited")
+    for k in range(1 if forward or ctx.fetched is None else iterations):
+        if ctx.fetched is None:
+            break
+        go = is_included() if included_only and (k == 0 or screening) else ~is_excluded()
+        seeds = df.where((F.coalesce("discovery.iteration", F.lit(0)) == k) & go & is_primary() & F.col("doi").isNotNull()).select(F.col("doi").alias(a)).distinct()
+        reached = graph.edges(df).join(seeds, a, "left_semi").select(F.col(b).alias("doi")).distinct()
+        wanted = reached.join(df.select("doi"), "doi", "left_anti")
+        found = conform(ctx.fetched).join(wanted, "doi", "left_semi").dropDuplicates(["doi"])
         found = found if min_year is None else found.where(F.coalesce(F.col("year") >= min_year, F.lit(False)))
         how = "forward_citation" if forward else "backward_citation"
-        found = found.withColumn("discovery", F.struct(F.lit(how).alias("method"), F.col("iteration").alias("iteration"), F.lit("citations").alias("source_database")))
-        df = ingest(df, found.select(*df.columns))
+        found = found.withColumn("discovery", F.struct(F.lit(how).alias("method"), F.lit(k + 1).alias("iteration"), F.lit("citations").alias("source_database")))
+        found = found.withColumn("ord", F.coalesce("ord", F.lit(0).cast("long")))
+        df = sinks_cut(ctx, ingest(df, found.select(*df.columns)))
+        if screening:
+            df = run_template(df, ctx, screening)
+    ctx.edges = graph.edges(df)
     return df
 
 
@@ -197,7 +202,7 @@ def patch_step(df, ctx, patches, **_):
 
 
 def checkpoint(df, ctx, folder=None, step=None, **_):
-    folder = folder or ctx.project.get("checkpoints") or f"{ctx.project.get('cache_dir', '/tmp')}/checkpoints"
+    folder = folder or ctx.project.get("checkpoints") or f"{ctx.project.get('cache_dir') or shared_folder(ctx.spark)}/checkpoints"
     return sinks.write_checkpoint(df, folder, ctx.project.get("name", ""), len(ctx.log) if step is None else step)
 
 

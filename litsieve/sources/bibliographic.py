@@ -86,7 +86,11 @@ def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def _ordered(df: DataFrame) -> DataFrame:
-    return df.withColumn("ord", F.row_number().over(Window.orderBy("path", "at")).cast("long") - 1)
+    """ord: the place of a record (path, at, counted from 0 in its file) among all. Only a
+    count a file is summed up in order; records stay where they are."""
+    counts = df.groupBy("path").agg(F.count("*").alias("_n"))
+    before = counts.select("path", (F.sum("_n").over(Window.orderBy("path")) - F.col("_n")).alias("_before"))
+    return df.join(before, "path").withColumn("ord", F.col("_before") + F.col("at")).drop("_before")
 
 
 def paper_type(kind, source_type, overrides: Mapping[str, Mapping[str, str]] | None = None, custom: Mapping[str, str] | None = None):

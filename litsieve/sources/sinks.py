@@ -97,3 +97,43 @@ def same_after_round_trip(df: DataFrame, path: str) -> bool:
     back = df.sparkSession.read.schema(df.schema).json(path)
     text = lambda x: x.select(F.to_json(F.struct("*")).alias("row"))
     return text(df).exceptAll(text(back)).isEmpty() and text(back).exceptAll(text(df)).isEmpty()
+
+
+def save_table(df: DataFrame, name: str, keys: list[str], mode: str = "skip") -> None:
+    """Upserts into a catalogue table (papers by cite_key, edges by both ends, chunks by paper
+    and index, vectors by chunk): skip keeps old rows, update takes new ones. The new state is
+    written aside first, as a table can't be overwritten while it is read."""
+    from ..operators.table import upsert
+    from ..storage import written
+
+    spark = df.sparkSession
+    if spark.catalog.tableExists(name):
+        df = upsert(spark.table(name), df, keys, mode)
+    written(df, "upsert").write.mode("overwrite").saveAsTable(name)
+
+
+def load_table(spark: SparkSession, name: str, **equal: object) -> DataFrame:
+    """Rows of a catalogue table whose columns have the given values (by cite_key, by DOI)."""
+    out = spark.table(name)
+    for c, v in equal.items():
+        out = out.where(F.col(c) == F.lit(v))
+    return out
+
+
+def load_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
+    """A table of an outside database; filters reach it."""
+    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+
+
+def clear_tables(spark: SparkSession, names: list[str]) -> None:
+    """Empties tables, those that point to others first, as they are given."""
+    for name in names:
+        if spark.catalog.tableExists(name):
+            spark.sql(f"TRUNCATE TABLE {name}")
+
+
+def cache_files(spark: SparkSession, folder: str) -> DataFrame:
+    """kind, files, bytes, newest of a cache folder's files by their endings."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime")
+    kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    return files.groupBy(kind.alias("kind")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.max("modificationTime").alias("newest"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identifiers import doi_stem
 from ..schema import PAPER
+from ..storage import new_path
 
 
 def papers_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
@@ -53,7 +54,29 @@ def each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], checkp
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that is there now, through the stream, as a table (for tests and small data)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """All that is there now, through the stream, as a table in the shared folder: appended
+    batch by batch, or (complete) the last state."""
+    spark = stream.sparkSession
+    path, checkpoint = new_path(spark, name), new_path(spark, f"{name}-state")
+    if mode == "append":
+        query = to_files(stream, path, checkpoint, "parquet")
+    else:
+        query = each_batch(stream, lambda batch, _: batch.write.mode("overwrite").parquet(path), checkpoint, mode)
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def with_ttl(stream: DataFrame, key: str, time: str, ttl: str) -> DataFrame:
+    """The first row of each key within a time to live: state older than that is dropped, and
+    a key that comes again after it passes anew."""
+    return stream.withWatermark(time, ttl).dropDuplicatesWithinWatermark([key])
+
+
+def update_centroid(batch: DataFrame, folder: str, vector: str, side: str) -> DataFrame:
+    """Session state across runs: sums and counts by side and position are added to what the
+    folder holds as a new generation; returns the means so far."""
+    spark = batch.sparkSession
+    fresh = batch.select(side, F.posexplode(vector).alias("pos", "x")).groupBy(side, "pos").agg(F.sum(F.col("x").cast("double")).alias("total"), F.count("x").alias("n"))
+    fresh.write.mode("append").parquet(folder)
+    every = spark.read.schema(fresh.schema).parquet(folder).groupBy(side, "pos").agg((F.sum("total") / F.sum("n")).alias("mean"))
+    return every.groupBy(side).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda p: p["mean"]).alias("mean_vector"))
