@@ -27,7 +27,7 @@ def openalex_type(kind: Column, crossref: Column) -> Column:
 
 def year_from_parts(record: Column) -> Column:
     """The first element of the first date-parts that has one: print, online, issued, created."""
-    part = lambda k: F.get_json_object(record, f"$['{k}']['date-parts'][0][0]").cast("int")
+    part = lambda k: F.get_json_object(record, f"$['{k}']['date-parts'][0][0]").try_cast("int")
     return F.coalesce(*map(part, ("published-print", "published-online", "issued", "created")))
 
 

@@ -82,7 +82,7 @@ def stage_summary(screened: DataFrame, stage: str, similarity: str, prefix: str)
 def cache_audit(cache: DataFrame, payload: str = "payload") -> DataFrame:
     """By year (null for none): entries, those that aren't JSON, those with references."""
     good = F.try_parse_json(F.col(payload)).isNotNull()
-    year = F.when(good, F.get_json_object(payload, "$.year").cast("int"))
+    year = F.when(good, F.get_json_object(payload, "$.year").try_cast("int"))
     refs = F.coalesce(F.get_json_object(payload, "$.references[0]").isNotNull() & good, F.lit(False))
     return cache.groupBy(year.alias("year")).agg(F.count("*").alias("entries"), count_if(~good).alias("broken"), count_if(refs).alias("with_references"))
 

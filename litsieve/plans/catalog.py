@@ -607,8 +607,12 @@ def stream_stateless_screen(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import more_queries  # noqa: F401  (adds its queries)
+
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import more_queries  # noqa: F401
+
     return dict(SQL)
