@@ -68,6 +68,17 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", ("commons", "noncommercial", "4.0"), "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("Proprietary", ("all", "rights", "reserved"), "Copyright (c) the authors. All rights reserved."),
 ]
+#: Tags of files, and the headings of whole licence texts.
+TAGS = ["MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "EPL-2.0", "Unlicense", "Zlib", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0"]
+TEMPLATES += [(n, ("spdx", *WORD.findall(n.lower())), f"SPDX-License-Identifier: {n}") for n in TAGS]
+TAGGED = range(len(TEMPLATES) - len(TAGS), len(TEMPLATES))
+TEMPLATES += [
+    ("Apache-2.0", ("apache", "2.0", "january"), "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-2.0", ("gnu", "general", "2", "1991"), "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", ("gnu", "general", "3", "2007", "29"), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", ("gnu", "affero", "3", "19"), "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("BSL-1.0", ("boost", "1.0", "august"), "Boost Software License - Version 1.0 - August 17th, 2003"),
+]
 #: The common triggers, and the first three words of templates that have none of them.
 TRIGGER = re.compile("|".join([*COMMON, *(GAP.join(t.lower().split()[:3]) for _, _, t in TEMPLATES if not re.search("|".join(COMMON), t, re.IGNORECASE))]), re.IGNORECASE)
 #: Characters on either side of a trigger that belong to its block: a notice of the longest
@@ -154,6 +165,8 @@ def stretch(block: list[str], have: Counter, k: int) -> tuple[int, int, float, l
         matches = [m for m in SequenceMatcher(None, template, part, autojunk=False).get_matching_blocks() if m.size]
         for chosen in (dense(matches), matches) if matches else ():
             share, lacking, more = compare(chosen, part, template)
+            if more and k in TAGGED:  # a tag is one stretch of words
+                continue
             if share >= WORDING and not set(needed) & set(lacking) and not TELLING & set(more):
                 return a + chosen[0].b, a + chosen[-1].b + chosen[-1].size, share, lacking, more
     return None

@@ -179,3 +179,17 @@ copyright notice and this permission notice appear in all copies.
 """
     for text, name in ((bsd, "BSD"), (zlib, "Zlib"), (isc, "ISC")):
         assert [f[2] for a, b in license_scan.blocks(text) for f in license_scan.notices(text[a:b])] == [name]
+
+
+@pytest.mark.parametrize(("text", "expected"), [
+    ("// SPDX-License-Identifier: MIT\nint main() {}", "MIT"),
+    ("# SPDX-License-Identifier: GPL-2.0-only\nimport os", "GPL-2.0"),
+    ("# SPDX-License-Identifier: GPL-3.0-or-later\n", "GPL-3.0-or-later"),
+    ("/* SPDX-License-Identifier: Apache-2.0 */", "Apache-2.0"),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS", "Apache-2.0"),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n", "GPL-3.0"),
+    ("SPDX-License-Identifier: LicenseRef-Own", ""),
+])
+def test_tags_and_headings(text, expected):
+    found = {f[2] for a, b in license_scan.blocks(text) for f in license_scan.notices(text[a:b])}
+    assert ",".join(sorted(found)) == expected
