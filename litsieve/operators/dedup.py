@@ -1,8 +1,8 @@
 """Duplicate papers: exact DOI, fuzzy title, fuzzy title with first author.
 
 A row is a duplicate if it matches an earlier row that is still primary. Similarity
-doesn't depend on what is primary, so the matches are found once, as a static table of
-edges to earlier rows, and then resolved in rounds until none is open: a row all of whose
+doesn't depend on what is primary, so the matches are found once, between distinct titles,
+as a static table of edges to earlier rows, and then resolved in rounds until none is open: a row all of whose
 earlier matches are decided is decided; the last few edges are resolved in order. Candidate pairs come from blocks of rows with a common key; the
 ratio's own upper bounds (lengths, then character counts) discard most of them in the
 JVM before the pairwise comparison.
@@ -53,15 +53,16 @@ def profile_bound(a: Column, b: Column) -> Column:
     return 2 * common / total
 
 
-def fuzzy_edges(rows: DataFrame, threshold: float, block: Sequence[Column]) -> DataFrame:
-    """ord, earlier of pairs whose titles are similar; rows are (ord, t). A pair is
-    compared if it shares any of the block keys."""
-    keyed = rows.withColumn("n", F.length("t")).where("n > 0").withColumn("p", profile(F.col("t"))).withColumn("key", F.explode(F.array(*block)))
-    keyed = keyed.where("key is not null")
-    old = keyed.select("key", F.col("ord").alias("earlier"), F.col("t").alias("t2"), F.col("n").alias("n2"), F.col("p").alias("p2"))
-    pairs = keyed.join(old, "key").where("earlier < ord").where(length_bound(F.col("n"), F.col("n2")) >= threshold)
-    pairs = pairs.where(profile_bound(F.col("p"), F.col("p2")) >= threshold).select("ord", "earlier", "t", "t2").distinct()
-    return pairs.where(ratio("t", "t2") >= threshold).select("ord", "earlier")
+def similar_titles(classes: DataFrame, threshold: float, block: Sequence[Column]) -> DataFrame:
+    """new, old of classes (first, t, family) whose titles are similar, in both directions,
+    as the ratio depends on it; also of each class with itself. A pair is compared if it
+    shares any of the block keys."""
+    keyed = classes.withColumn("n", F.length("t")).withColumn("p", profile(F.col("t"))).withColumn("key", F.explode(F.array(*block))).where("key is not null")
+    old = keyed.select("key", F.col("first").alias("old"), F.col("t").alias("t2"), F.col("n").alias("n2"), F.col("p").alias("p2"))
+    pairs = keyed.join(old, "key").where("first <> old").where(length_bound(F.col("n"), F.col("n2")) >= threshold)
+    pairs = pairs.where(profile_bound(F.col("p"), F.col("p2")) >= threshold).select(F.col("first").alias("new"), "old", "t", "t2").distinct()
+    itself = keyed.select(F.col("first").alias("new"), F.col("first").alias("old")).distinct()
+    return pairs.where(ratio("t", "t2") >= threshold).select("new", "old").unionByName(itself)
 
 
 def length_bands(threshold: float) -> list[Column]:
@@ -115,22 +116,27 @@ def deduplicate(papers: DataFrame, methods: Sequence[dict], cut: Callable[[DataF
     rows = papers.select("ord", doi_stem(F.col("doi")).alias("stem"), dedup_title(F.col("title")).alias("t"), F.lower(F.get("authors", F.lit(0))["family_name"]).alias("family"))
     firsts = rows.where("stem is not null").groupBy("stem").agg(F.min("ord").alias("target"))
     same = rows.join(firsts, "stem").where("ord > target").select("ord", "target", F.lit("doi_exact").alias("method"))
-    rest = rows.join(same.select("ord"), "ord", "left_anti")
+    rest = rows.join(same.select("ord"), "ord", "left_anti").where("t <> ''")
+    # rows of one title and family are similar to the same rows: only the first can be primary
+    classes = cut(rest.groupBy("t", "family").agg(F.min("ord").alias("first")))
     parts = []
     for k, m in enumerate(methods):
         if m["method"] == "title_author_fuzzy":
-            parts.append(fuzzy_edges(rest.select("ord", "t", "family"), m.get("threshold", 0.90), [F.col("family")]).withColumn("k", F.lit(k)))
+            parts.append(similar_titles(classes, m.get("threshold", 0.90), [F.col("family")]).withColumn("k", F.lit(k)))
         elif m["method"] == "title_fuzzy":
-            parts.append(fuzzy_edges(rest.select("ord", "t"), m.get("threshold", 0.95), length_bands(m.get("threshold", 0.95))).withColumn("k", F.lit(k)))
+            parts.append(similar_titles(classes, m.get("threshold", 0.95), length_bands(m.get("threshold", 0.95))).withColumn("k", F.lit(k)))
     out = same if any(m["method"] == "doi_exact" for m in methods) else same.limit(0)
     if parts:
-        edges = parts[0]
+        pairs = parts[0]
         for p in parts[1:]:
-            edges = edges.unionByName(p)
-        edges = cut(edges)
-        duplicates = greedy(edges.select("ord", "earlier").distinct(), cut)
-        primary = edges.join(duplicates.select(F.col("ord").alias("earlier")), "earlier", "left_anti")
-        best = primary.groupBy("ord").agg(F.min(F.struct("k", "earlier")).alias("best"))
+            pairs = pairs.unionByName(p)
+        pairs = cut(pairs)
+        edges = pairs.where("old < new").select(F.col("new").alias("ord"), F.col("old").alias("earlier")).distinct()
+        duplicates = greedy(edges, cut)
+        primary = pairs.join(duplicates.select(F.col("ord").alias("old")), "old", "left_anti")
+        same_class = (F.col("r.t") == F.col("c.t")) & F.col("r.family").eqNullSafe(F.col("c.family"))
+        members = rest.alias("r").join(classes.alias("c"), same_class).select("r.ord", F.col("c.first").alias("new"))
+        best = members.join(primary, "new").where("old < ord").groupBy("ord").agg(F.min(F.struct("k", "old")).alias("best"))
         names = F.array(*(F.lit(m["method"]) for m in methods))
-        out = out.unionByName(best.select("ord", F.col("best.earlier").alias("target"), F.get(names, F.col("best.k")).alias("method")))
+        out = out.unionByName(best.select("ord", F.col("best.old").alias("target"), F.get(names, F.col("best.k")).alias("method")))
     return out

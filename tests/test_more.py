@@ -36,10 +36,10 @@ def test_missing_language_is_english(spark):
 
 
 def test_sections_drop_what_is_above_and_find_the_title():
-    text = "Some words. Above it.\n1. A study of maps\nof many large cities in the world\n2. Open access\nCC BY, and so on for some while\nAbstract\nWe study maps.\nConclusion\nDone."
+    text = "Some words. Above it.\n1. A study of maps\nit is about many large cities, old and new\n2. Open access\nCC BY, and so on for some while\nAbstract\nWe study maps.\nConclusion\nDone."
     got = [(s["title"], s["content"]) for s in chunks.sections_of(text)]
-    assert got[0] == ("title", "of many large cities in the world") and "Above it" not in str(got)
-    assert chunks.sections_of("no header\nat all, is there.") == []
+    assert got[0] == ("title", "it is about many large cities, old and new") and "Above it" not in str(got)
+    assert chunks.sections_of("It has, no header.\nat all, is there.") == []
 
 
 def test_citations_go_on_over_fetched_papers(spark):
@@ -121,3 +121,30 @@ def test_definitions_round_trip_and_command_line(spark, tmp_path, capsys):
     assert "valid" in said and "3. halt (halt), disabled" in said and spark.read.parquet(str(tmp_path / "out")).count() == 1
     path.write_text("steps: []")
     assert cli.main(["validate", str(path)]) == 1
+
+
+def test_repeated_titles_are_one_class(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    from litsieve.operators import dedup
+
+    rnd = random.Random(6)
+    titles = ["cold widget of the north", "cold widgets of the north", "cold wodgets of the north", "warm thing", "warm things", "", "a quite different title"]
+    rows = [(k, rnd.choice(titles), rnd.choice(["f", "g", None])) for k in range(120)]
+    df = spark.createDataFrame([(k, x, None, [(f,)]) for k, x, f in rows], "ord long, title string, doi string, authors array<struct<family_name: string>>")
+    methods = [{"method": "title_author_fuzzy", "threshold": 0.9}, {"method": "title_fuzzy", "threshold": 0.97}]
+
+    def near(a, b, m):
+        same = SequenceMatcher(None, a[1], b[1]).ratio() >= m["threshold"] and a[1]
+        return same and (m["method"] == "title_fuzzy" or (a[2] is not None and a[2] == b[2]))
+
+    primary, want = [], {}
+    for r in rows:
+        hits = [(k, p[0]) for k, m in enumerate(methods) for p in primary if near(r, p, m)]
+        if hits:
+            k, target = min(hits)
+            want[r[0]] = (target, methods[k]["method"])
+        else:
+            primary.append(r)
+    assert {r.ord: (r.target, r.method) for r in dedup.deduplicate(df, methods).collect()} == want
