@@ -53,9 +53,10 @@ def partitions(spark: SparkSession) -> int:
 
 
 def row_key(*columns: str) -> Column:
-    """Names a row by 128 bits of its content, so that repeated rows share their results."""
-    parts = (F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns)
-    return F.unhex(F.md5(F.concat_ws(" ", *parts).cast("binary")))
+    """Names a row by 128 bits of its content (two 64-bit hashes of unlike seeds), so that
+    repeated rows share their results."""
+    half = lambda seed: F.lpad(F.hex(F.xxhash64(F.lit(seed), *columns)), 16, "0")
+    return F.unhex(F.concat(half(1), half(2)))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import byte_letters, odd_rows, spelt_out, word_pieces
-from .shared import row_key, written
+from .shared import written
 from .vec import chunks, groups, same_spans, span_hashes
 
 HOT = 65_536
@@ -171,8 +171,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, hot: int = HOT)
                     names=["rid", "doc_id", "n_bytes", "hot", "rest"],
                 )
 
-    base = docs.select(row_key("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    each = base.mapInArrow(rows, "rid binary, doc_id long, n_bytes long, hot long, rest array<struct<word: binary, times: long>>")
+    # with the doc_id, 64 bits tell rows apart: only texts of one doc_id could be taken as one
+    base = docs.select(F.xxhash64("text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    each = base.mapInArrow(rows, "rid long, doc_id long, n_bytes long, hot long, rest array<struct<word: binary, times: long>>")
     spread = each.select("rid", "doc_id", "n_bytes", "hot", F.posexplode_outer("rest").alias("k", "item")).select("rid", "doc_id", "n_bytes", "hot", "k", "item.word", "item.times")
     joined = spread.join(table.select("word", "pieces"), "word", "left")
     # repeated rows share a key: each of them brought its words, and each gets a row
