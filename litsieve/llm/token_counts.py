@@ -125,7 +125,7 @@ def distinct_words(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pieces, pa.int32())], names=["word", "n", "pieces"])
 
     found = docs.select("text").mapInArrow(words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return written(found.mapInArrow(count, "word binary, n long, pieces int"), "words")
+    return written(found.mapInArrow(count, "word binary, n long, pieces int"), "words", settle=True)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, hot: int = HOT) -> DataFrame:
