@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import collapse, literal_map, title_case
+from .text import collapse, literal_map, title_case, trimmed
 
 # Journal-title abbreviation.
 ISO4_STOP = [
@@ -50,7 +50,7 @@ def split_name(name: Column) -> Column:
 
 def parse_authors(x: Column) -> Column:
     """Names joined by and, as an array of author structs."""
-    return F.transform(F.filter(F.transform(F.split(x, r"(?i)\s+and\s+"), F.trim), lambda n: n != ""), lambda n: split_name(title_case(n)))
+    return F.transform(F.filter(trimmed(F.split(x, r"(?i)\s+and\s+")), lambda n: n != ""), lambda n: split_name(title_case(n)))
 
 
 def author_string(authors: Column) -> Column:

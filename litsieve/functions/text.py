@@ -25,6 +25,12 @@ def literal_map(values: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
 
 
+def trimmed(parts: Column) -> Column:
+    """Each text of an array without spaces at its ends. (F.trim itself would get an item's
+    index as the characters to trim.)"""
+    return F.transform(parts, lambda p: F.trim(p))
+
+
 def collapse(x: Column) -> Column:
     """White space runs as one space, none at the ends."""
     return F.trim(F.regexp_replace(x, r"\s+", " "))

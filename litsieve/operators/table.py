@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import doi_stem
-from ..functions.text import title_key
+from ..functions.text import title_key, trimmed
 from ..schema import decision, is_duplicate, is_excluded, is_included
 
 
@@ -235,4 +235,4 @@ def json_search(df: DataFrame, key: str, record: str, term: str) -> DataFrame:
 
 
 def split_tags(x: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.split(x, ":"), F.trim), lambda t: t != ""))
+    return F.array_distinct(F.filter(trimmed(F.split(x, ":")), lambda t: t != ""))
