@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as ids
-from ..functions import records
+from ..functions import markdown, records
 from ..functions import text as t
 from ..functions import vectors as v
 from ..operators import analysis, graph, reports, screening, table
@@ -161,6 +161,65 @@ def normalized_records(spark, d):
     return records.normalized(raw)
 
 
+@query("""SELECT p_partkey AS id, 'T ' || p_name AS title, CASE p_partkey % 3 WHEN 0 THEN p_type WHEN 1 THEN p_brand END AS journal, CASE WHEN p_size % 2 = 0 THEN 1990 + p_size END::INT AS year, CASE p_size % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'closed' END AS oa_status,
+CASE WHEN p_size % 5 = 0 THEN 's2:c' || p_partkey ELSE 's2:p' || p_partkey END AS source_key, 'A. One;B. Two' AS authors, p_type || ';plain' AS topics, '10.1/' || p_partkey AS doi FROM part""")
+def semantic_records(spark, d):
+    """Records of a service: a venue in one of three places, names as objects or texts."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    venue = F.when(k % 3 == 0, F.concat(F.lit('"venue": "'), "p_type", F.lit('"'))).when(k % 3 == 1, F.concat(F.lit('"venue": "", "journal": {"name": "'), "p_brand", F.lit('"}'))).otherwise(F.concat(F.lit('"publicationVenue": {"id": 1}, "journal": {"name": "'), "p_brand", F.lit('"}')))
+    record = F.concat(
+        F.lit('{"title": "T <i></i> '), "p_name", F.lit('", '), venue, F.when(size % 2 == 0, F.concat(F.lit(', "year": '), (size + 1990).cast("string"))).otherwise(', "year": null'), F.when(size % 3 == 0, ', "isOpenAccess": true').when(size % 3 == 1, ', "isOpenAccess": false').otherwise(""),
+        F.when(size % 5 == 0, ', "corpusId": "c').otherwise(', "paperId": "p'), k.cast("string"), F.lit('", "authors": [{"name": "A. One"}, "B. Two", {"id": 3}], "s2FieldsOfStudy": [{"category": "'), "p_type", F.lit('"}, "plain"], "externalIds": {"DOI": "10.1/'), k.cast("string"), F.lit('"}}'),
+    )
+    r = records.semantic_scholar(record)
+    rows = read(spark, d, "part").select(k.alias("id"), r.alias("r"))
+    return rows.select("id", "r.title", "r.journal", "r.year", "r.oa_status", "r.source_key", F.array_join("r.authors", ";").alias("authors"), F.array_join("r.topics", ";").alias("topics"), "r.doi")
+
+
+@query("""SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 2 THEN p_brand ELSE 'J' END AS journal, (1990 + p_size)::INT AS year, CASE WHEN p_partkey % 3 = 0 THEN 'p2' ELSE 'p1' END AS pages, 'Doe:' || p_size || ':' || 'AM' AS author,
+CASE p_partkey % 3 WHEN 1 THEN p_type || '|b c' ELSE 'x y|' || p_type END AS keywords, CASE p_partkey % 3 WHEN 0 THEN p_type || '|b c' WHEN 1 THEN 'x y|' || p_type END AS keywords_extra, CASE p_partkey % 3 WHEN 0 THEN 'Web of Science' WHEN 1 THEN 'mine' ELSE 'IEEE Xplore' END AS source FROM part""")
+def exported_records(spark, d):
+    """Exports of three sources in one form."""
+    first = F.concat(F.lit("{x y}; "), "p_type", F.lit(" ,"))
+    second = F.concat(F.lit('"'), F.col("p_type"), F.lit('"; b \\&  c'))
+    values = {"journal": F.lit("J"), "booktitle": F.col("p_brand"), "year": F.concat(F.lit(" "), (F.col("p_size") + 1990).cast("string")), "pages": F.lit("p1"), "pages-range": F.lit("p2"), "author": F.concat(F.lit("Doe, Ann Mary and Roe"), F.col("p_size").cast("string")), "keywords": first, "keywords-plus": second, "author_keywords": second, "source": F.lit("mine")}
+    fields = F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v)))
+    key = F.col("p_partkey").cast("string")
+    found = {k: records.translated(fields, key, F.lit("article"), k) for k in records.TRANSLATIONS}
+    n = F.col("p_partkey") % 3
+    r = F.when(n == 0, found["wos"]).when(n == 1, found["scopus"]).otherwise(found["ieee"])
+    rows = read(spark, d, "part").select(F.col("p_partkey").alias("id"), r.alias("r"))
+    author = F.concat_ws(":", F.get("r.authors", F.lit(0))["last_name"], F.regexp_extract(F.get("r.authors", F.lit(1))["last_name"], r"(\d+)", 1), F.get("r.authors", F.lit(0))["initials"])
+    return rows.select("id", "r.journal", "r.year", "r.pages", author.alias("author"), F.array_join("r.keywords", "|").alias("keywords"), F.array_join("r.keywords_extra", "|").alias("keywords_extra"), F.element_at("r.source_details", "source").alias("source"))
+
+
+@query("""SELECT c_nationkey AS id, string_agg(CASE WHEN c_custkey % 4 <> 0 THEN '10.1/' || c_custkey END, ',' ORDER BY c_custkey) AS dois, count(*) AS listed FROM customer GROUP BY 1""")
+def stated_citations(spark, d):
+    """Lists of DOIs, some of which aren't any."""
+    doi = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("x"), F.col("c_custkey").cast("string"))).otherwise(F.concat(F.lit("https://doi.org/10.1/"), F.col("c_custkey").cast("string")))
+    c = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", doi.alias("doi")))), lambda x: x["doi"]).alias("dois"))
+    field = F.concat(F.lit(" {"), F.array_join("dois", ", "), F.lit(",}"))
+    cited = F.transform(records.cited_dois(field, "backward"), lambda x: x["doi"])
+    return c.select("id", F.array_join(cited, ",").alias("dois"), F.size(records.doi_list(field)).cast("long").alias("listed"))
+
+
+@query("""SELECT p_partkey AS id, p_name AS title, CASE WHEN p_size % 2 = 0 THEN 'A and B' END AS authors, p_type AS methodology_class, 'last ' || p_size AS conclusions, 'c' || p_size || '>o' AS camo, 's1|' || p_brand AS it_supplier, 'first|' || p_type AS questions, 'one|' || p_name AS steps FROM part""")
+def analysis_markdown(spark, d):
+    """What is read from analyses in markdown."""
+    size = F.col("p_size").cast("string")
+    text = F.concat(
+        F.lit("above\n## 1. TITLE_AND_AUTHORS \n1.1. **TITLE:** other\n### 1.1. title: "), "p_name", F.when(F.col("p_size") % 2 == 0, "\n1.2. **AUTHORS**: A and B").otherwise("\n1.2. **AUTHORS A and B"), F.lit("\n## RESULTS\nfirst\n### RESULTS\n## METHODS\n2.1. **METHODOLOGY_CLASS:** "), "p_type",
+        F.lit("\nmore\n\n2.2. **OTHER:** x\n## CONCLUSIONS\n\nlast "), size, F.lit("\n\n## INNOVATION_MECHANISMS\n[c"), size, F.lit("], [a], [m], [o] - all\n\n[c], [a] - none\n## VENDORS\n3.1. **IT_SUPPLIER:** s1\n"), "p_brand", F.lit("\n\n3.2. **NO_SUPPLIER:** s2\n## HYPOTHESIS\n- first\n- "), "p_type", F.lit("\n## STEPS\n1. one\n\n"), "p_name",
+    )
+    rows = read(spark, d, "part").select(F.col("p_partkey").alias("id"), markdown.analysis(text).alias("a"))
+    camo = F.transform("a.camo", lambda c: F.concat(c["c"], F.lit(">"), c["o"]))
+    part = lambda name: F.element_at("a.sections", name)
+    return rows.select(
+        "id", "a.title", "a.authors", "a.methodology_class", part("CONCLUSIONS").alias("conclusions"), F.array_join(camo, ";").alias("camo"), F.array_join("a.it_supplier", "|").alias("it_supplier"),
+        F.array_join(markdown.questions(part("RESEARCH_QUESTION")), "|").alias("questions"), F.array_join(markdown.steps(part("STEPS")), "|").alias("steps"),
+    )
+
+
 # screening
 
 

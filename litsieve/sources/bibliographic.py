@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..functions.identifiers import doi_key, doi_stem, parse_authors
+from ..functions.identifiers import doi_key, doi_stem, parse_authors, split_name
+from ..functions.records import cited_dois, doi_list, translated
 from ..schema import PAPER, conform
 
 # Entry and record types.
@@ -111,16 +112,50 @@ def paper_type(kind, source_type, overrides: Mapping[str, Mapping[str, str]] | N
 FIELDS = ["title", "abstract", "author", "year", "date", "doi", "isbn", "issn", "url", "journal", "booktitle", "publisher", "volume", "issue", "number", "pages", "keyword", "keywords", "author_keywords", "keywords-plus", "language", "type", "document_type", "article_type"]
 
 
-def read_bibtex(spark: SparkSession, paths: str | list[str], source: str | None = None, method: str = "keyword_search", iteration: int = 0, overrides=None, custom=None) -> DataFrame:
-    """One paper a BibTeX entry; an entry without key or title fails the read."""
+def read_entries(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, at, kind, key, all_fields (in order, empty ones left out), raw, ord of entries."""
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = [(path, at, kind, key, {k: v for k, v in fields.items() if v.strip()}, raw) for path, text in zip(frame.path, frame.text, strict=True) for at, (kind, key, fields, raw) in enumerate(bibtex_entries(text))]
             yield pd.DataFrame(rows, columns=["path", "at", "kind", "key", "all_fields", "raw"])
 
-    rows = _files(spark, paths).mapInPandas(parse, "path string, at int, kind string, key string, all_fields map<string,string>, raw string")
-    rows = _ordered(rows).withColumn("fields", F.struct(*(F.element_at("all_fields", f).alias(f) for f in FIELDS)))
+    return _ordered(_files(spark, paths).mapInPandas(parse, "path string, at int, kind string, key string, all_fields map<string,string>, raw string"))
+
+
+def read_cited_bibtex(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Papers of entries that state their citations by hand (cites, citedby: lists of DOIs),
+    with study_type, cited_by_count and last_checked; and (key, reason) of entries that are
+    skipped: DOI, title, abstract and keywords are needed."""
+    rows = read_entries(spark, paths)
+    f = lambda name: F.trim(F.element_at("all_fields", name))
+    doi = doi_stem(f("doi"))
+    missing = [F.when(f(n).isNull(), f"Missing {said}") for n, said in (("title", "title"), ("abstract", "abstract"), ("keywords", "keywords"))]
+    rows = rows.withColumn("_reason", F.coalesce(F.when(f("doi").isNull(), "Missing DOI"), F.when(doi.isNull(), F.concat(F.lit("Invalid DOI: "), f("doi"))), *missing))
+    good = rows.where("_reason is null").select(
+        "ord", doi.alias("id"), F.col("key").alias("cite_key"), doi.alias("source_key"), doi.alias("doi"), f("title").alias("title"), f("abstract").alias("abstract"),
+        F.filter(t.trimmed(F.split(f("keywords"), ",")), lambda k: k != "").alias("keywords"), F.transform(F.filter(t.trimmed(F.split(f("author"), " and ")), lambda n: n != ""), split_name).alias("authors"),
+        f("year").try_cast("int").alias("year"), f("journal").alias("journal"), f("publisher").alias("publisher"), F.element_at(t.literal_map({k: v[0] for k, v in BIBTEX_TYPES.items()}), F.col("kind")).alias("paper_type"),
+        F.struct(F.lit("manual").alias("method"), F.lit(0).alias("iteration"), F.lit("manual").alias("source_database")).alias("discovery"), cited_dois(f("cites"), "backward").alias("citations"),
+        cited_dois(f("citedby"), "forward").alias("cited_by"), "raw", f("studytype").alias("study_type"), F.coalesce(f("citedbycount").try_cast("int"), F.size(doi_list(f("citedby")))).alias("cited_by_count"),
+        F.coalesce(f("lastchecked"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("last_checked"),
+    )
+    names = PAPER.fieldNames()
+    none = [F.lit(None).cast(PAPER[n].dataType).alias(n) for n in names if n not in good.columns]
+    good = good.select("*", *none).select(*(F.col(n).cast(PAPER[n].dataType).alias(n) for n in names), "study_type", "cited_by_count", "last_checked")
+    return good, rows.where("_reason is not null").select("key", F.col("_reason").alias("reason"))
+
+
+def read_exports(spark: SparkSession, paths: str | list[str], source: str) -> DataFrame:
+    """Entries of an export of wos, scopus or ieee in one form, in order."""
+    rows = read_entries(spark, paths)
+    return rows.select("ord", translated(F.col("all_fields"), F.col("key"), F.col("kind"), source).alias("r")).select("ord", "r.*")
+
+
+def read_bibtex(spark: SparkSession, paths: str | list[str], source: str | None = None, method: str = "keyword_search", iteration: int = 0, overrides=None, custom=None) -> DataFrame:
+    """One paper a BibTeX entry; an entry without key or title fails the read."""
+
+    rows = read_entries(spark, paths).withColumn("fields", F.struct(*(F.element_at("all_fields", f).alias(f) for f in FIELDS)))
     file_name = F.lower(F.element_at(F.split("path", "/"), -1))
     found = F.lit(source) if source else F.coalesce(*(F.when(file_name.contains(s), s) for s in SOURCES), F.lit("bibtex"))
     kind, _ = paper_type(F.col("kind"), found, overrides, custom)

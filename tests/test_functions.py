@@ -3,8 +3,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from litsieve.functions import identifiers as ids
+from litsieve.functions import markdown, records
 from litsieve.functions import text as t
 from litsieve.functions import vectors as v
+from litsieve.operators import table
 from litsieve.plans import catalog
 
 
@@ -112,3 +114,31 @@ def test_nearest_is_among_all_other_rows(spark, tmp_path):
     want = (u @ u.T - 9 * np.eye(70)).max(1)
     best = {r.vec_id: r.best for r in v.nearest_other(table, block=16).collect()}
     assert sorted(best) == list(range(70)) and np.allclose([best[k] for k in range(70)], want)
+
+
+def test_analysis_markdown(spark):
+    text = "intro\n##  2. METHODS\r\n2.1. **EMPIRICAL_BASE:** ten firms\nmore\n\n2.2. METHODOLOGY_CLASS: case\n### METHODS\n## VENDORS\n**3.1. **REGULAR_SUPPLIER:** a\nb\n## VENDORS:\n\n3.1. **IT_SUPPLIER:** c"
+    rows = spark.createDataFrame([(0, text), (1, None), (2, ""), (3, "## lower\nx"), (4, "## PAPER_HEADER\n## METHODOLOGY")], "id int, x string")
+    got = {r.id: r.a for r in rows.select("id", markdown.analysis(F.col("x")).alias("a")).collect()}
+    assert got[0].sections["METHODOLOGY"].endswith("### METHODS") and got[0].empirical_base == "ten firms" and got[0].methodology_class == "case"
+    assert got[0].regular_supplier is None and got[0].it_supplier == ["c"] and set(got[0].sections) == {"METHODOLOGY", "VENDORS"}
+    assert got[1].sections is None and got[2].sections == {} and got[3].sections == {} and got[4].sections == {"PAPER_HEADER": "", "METHODOLOGY": ""} and got[4].title is None
+    lists = spark.createDataFrame([("1. one two\n2. three",), ("* a\n* b",), ("First. Second",), ("Only",), ("",)], "x string")
+    assert [r[0] for r in lists.select(markdown.questions(F.col("x"))).collect()] == [["one two", "three"], ["a", "b"], ["First.", "Second."], ["Only"], [""]]
+    assert lists.select(markdown.steps(F.col("x"))).first()[0] == ["one two", "three"]
+
+
+def test_items_keep_digits_at_their_ends(spark):
+    """An item's place isn't taken for characters to trim."""
+    assert values(spark, table.split_tags, ["0a0: 1b1 :2"]) == [["0a0", "1b1", "2"]]
+    assert [a.full_name for a in values(spark, ids.parse_authors, ["0ne Two0 and 1st Roe1"])[0]] == ["0ne Two0", "1st Roe1"]
+
+
+def test_semantic_scholar(spark):
+    answer = '{"data": [{"citingPaper": {"title": "A long enough title", "year": 2020, "externalIds": {"DOI": "10.1/A"}, "authors": [{"name": "A B"}]}}, {"citingPaper": {"title": "T"}}]}'
+    rows = spark.createDataFrame([(answer,), ("{}",), (None,)], "x string")
+    got = [r[0] for r in rows.select(records.semantic_scholar_cited_by(F.col("x"))).collect()]
+    assert [(c.doi, c.author, c.year, c.direction, c.confidence) for c in got[0]] == [("10.1/a", "A B", 2020, "forward", 1.0), (None, "", None, "forward", 0.5)] and not got[1] and not got[2]
+    record = '{"publicationTypes": ["Review", "X"], "openAccessPdf": {"url": "u"}, "corpusId": 5, "isOpenAccess": false, "year": "n.d.", "abstract": "t"}'
+    r = spark.createDataFrame([(record,)], "x string").select(records.semantic_scholar(F.col("x")).alias("r")).first().r
+    assert (r.paper_type, r.download_url, r.source_key, r.oa_status, r.year, r.authors, r.journal, r.title) == ("Review", "u", "s2:5", "closed", None, [], None, None)

@@ -56,6 +56,36 @@ def test_ris(spark, tmp_path):
     assert [r.paper_type for r in rows] == ["journal_article", "conference_paper", "other"]
 
 
+CITED = """
+@article{k1, doi = {doi:10.1/A}, title = {One title}, abstract = {Text}, keywords = {x, y}, author = {Doe, Ann and Bo Roe}, year = {2020}, cites = {{10.2/b, 10.3/C, nothing}}, citedby = {10.4/d}, citedbycount = {many}, lastchecked = {2024-01-01}}
+@misc{k2, doi = {10.1/b}, title = {Two}, abstract = {Text}, keywords = {x}, citedbycount = {7}}
+@book{k3, title = {Three}, abstract = {Text}, keywords = {x}}
+@book{k4, doi = {zz}, title = {Four}, abstract = {Text}, keywords = {x}}
+@book{k5, doi = {10.1/e}, title = {Five}, abstract = { }, keywords = {x}}
+"""
+
+
+def test_bibtex_with_stated_citations(spark, tmp_path):
+    (tmp_path / "x.bib").write_text(CITED)
+    good, skipped = b.read_cited_bibtex(spark, str(tmp_path))
+    one, two = good.orderBy("ord").collect()
+    assert [(c.doi, c.direction, c.confidence) for c in one.citations] == [("10.2/b", "backward", 1.0), ("10.3/c", "backward", 1.0)]
+    assert [(c.doi, c.direction) for c in one.cited_by] == [("10.4/d", "forward")] and one.cited_by_count == 1 and one.last_checked == "2024-01-01"
+    assert (one.id, one.cite_key, one.title, one.year, one.keywords) == ("10.1/a", "k1", "One title", 2020, ["x", "y"]) and [a.family_name for a in one.authors] == ["Doe", "Roe"]
+    assert two.cited_by_count == 7 and two.citations == [] and two.last_checked and two.paper_type == "other" and two.authors is None
+    assert {r.key: r.reason for r in skipped.collect()} == {"k3": "Missing DOI", "k4": "Invalid DOI: zz", "k5": "Missing abstract"}
+
+
+def test_exports_of_three_sources(spark, tmp_path):
+    entry = r"@inproceedings{k, title={T}, author={Doe, Ann Mary and Bo Roe}, year={2020}, journal={J}, booktitle={B}, number={3}, pages={1}, keywords={a; a\"{o}b, `` c ''}, author_keywords={``x'', y\&z}, note={n}, series={s}, unique-id={u}}"
+    (tmp_path / "x.bib").write_text(entry)
+    wos, scopus, ieee = (b.read_exports(spark, str(tmp_path), s).first() for s in ("wos", "scopus", "ieee"))
+    assert (wos.journal, ieee.journal, wos.issue, wos.year, wos.paper_type, wos.citekey) == ("J", "B", "3", 2020, "inproceedings", "k")
+    assert wos.keywords == ["a", "ab", "c"] and wos.keywords_extra is None and scopus.keywords == ["x", "y"] and scopus.keywords_extra == ["a", "ab", "c"]
+    assert [(a.last_name, a.first_name, a.initials, a.order) for a in wos.authors] == [("Doe", "Ann Mary", "AM", 0), ("Roe", "Bo", "B", 1)]
+    assert wos.source_details == {"source": "Web of Science", "unique-id": "u"} and ieee.source_details == {"source": "IEEE Xplore", "note": "n", "series": "s"}
+
+
 def papers(spark):
     rows = b.literal_papers(spark, [{"doi": "10.1/a", "cite_key": "a"}, {"doi": "10.1/b", "cite_key": "b"}, {"doi": None, "cite_key": "c"}, {"doi": "10.1/d"}])
     rows = rows.withColumn("title", F.concat(F.lit("Salt & "), "cite_key"))
