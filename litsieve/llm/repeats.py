@@ -162,12 +162,14 @@ def shared_minimisers(base: DataFrame, windows: Windows, buckets: int) -> DataFr
         low, high = np.minimum.reduceat(by, edge), np.maximum.reduceat(by, edge)
         many = np.repeat(low != high, np.diff(np.append(edge, len(h))))
         keep = order[many]
+        if not len(keep):
+            return
         docs, h = docs[keep], h[keep]
         # one row for each partition of documents, not for each document
         target = (mix(docs.astype(U64)) % U64(buckets)).astype(np.int64)
         order = np.argsort(target, kind="stable")
         target, docs, h = target[order], docs[order], h[order]
-        edge = np.flatnonzero(np.append(True, target[1:] != target[:-1])) if len(target) else np.zeros(0, np.int64)
+        edge = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
         for x, y in zip(edge.tolist(), np.append(edge[1:], len(target)).tolist(), strict=True):
             yield pa.RecordBatch.from_arrays([pa.array([target[x]], pa.int32()), pa.array([docs[x:y].astype("<i8").tobytes()], pa.binary()), pa.array([_six(h[x:y])], pa.binary())], names=["target", "ids", "hashes"])
 

@@ -55,6 +55,13 @@ def test_substring_dedup_equals_brute_force(spark):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=key) == sorted(((i, n, g, sha(b)) for i, n, g, _, b in want), key=key)
 
 
+@pytest.mark.parametrize("module", [substring_dedup, suffix_dedup])
+def test_nothing_shared(spark, module):
+    """No partition has a minimiser of two documents."""
+    rows = [(k, " ".join(f"d{k}w{n}x{n * n + k}" for n in range(70))) for k in range(3)]
+    assert [r.n_removed for r in module.remove_repeats(frame(spark, rows)).collect()] == [0, 0, 0]
+
+
 @pytest.mark.parametrize("module", [substring_dedup, suffix_dedup])
 def test_empty_table(spark, module):
     assert module.remove_repeats(frame(spark, [])).collect() == []
