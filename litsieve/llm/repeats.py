@@ -12,7 +12,9 @@ least hash (minimiser) among the grams in it, so equal windows have equal minimi
    ones with the least doc_id of each, so a group of copies of any size is one row.
 3. A bucket sorts the windows of its distinct strings exactly, and marks in each string
    the windows that also start in a document with a smaller doc_id than the string's
-   least. Rows of later documents repeat their whole string anyway.
+   least. Rows of later documents repeat their whole string anyway. The strings of a hot
+   minimiser are cut in two and dealt by what stands before the minimiser's gram, or
+   after it: one of the two lies in a window whole, so equal windows still meet.
 4. Marks are joined back by string, gathered by document, and applied to its text.
 
 Whole exact copies of a smaller doc_id are found by digest and skip steps 2 to 4.
@@ -49,7 +51,8 @@ class Windows:
     """What windows are made of. ``split`` gives (gram hashes, starts, ends, offsets by
     row) of units; ``classes`` gives, for distinct strings, the class of every window and
     how many windows each string has; ``extended``, if given, the hashes of a gram with
-    the ``reach`` units before it and after it."""
+    the ``reach`` units before it and after it. A minimiser of more than ``hot`` runs, and of
+    more than a quarter of a partition's share of them, is split by context (0: none is)."""
 
     width: int
     gram: int
@@ -57,6 +60,7 @@ class Windows:
     classes: Classes
     bytes_apart: bool
     extended: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None
+    hot: int = 0
 
     @property
     def reach(self) -> int:
@@ -65,13 +69,14 @@ class Windows:
 
 @dataclass
 class Runs:
-    """Runs of windows with one minimiser: first and last window, row, the minimiser, and
-    the names (two for each run, 0 for none) under which runs are looked up."""
+    """Runs of windows with one minimiser: first and last window, row, the minimiser and its
+    gram's place, and the names (two for each run, 0 for none) under which runs are looked up."""
 
     first: np.ndarray
     last: np.ndarray
     row: np.ndarray
     h: np.ndarray
+    at: np.ndarray
     names: np.ndarray
     rows: np.ndarray
 
@@ -86,7 +91,7 @@ def minimisers(windows: Windows, buf: np.ndarray, off: np.ndarray) -> Runs:
     n, span = int(rows[-1]), windows.width - windows.gram + 1
     if not (np.diff(rows) >= windows.width).any():
         none = np.zeros(0, np.int64)
-        return Runs(none, none, none, np.zeros(0, U64), np.zeros((0, 2), U64), rows)
+        return Runs(none, none, none, np.zeros(0, U64), none, np.zeros((0, 2), U64), rows)
     low = U64((1 << POSITION_BITS) - 1)
     least = sliding((grams & ~low) | (np.arange(len(grams), dtype=U64) & low), span, np.minimum)
     new = np.zeros(n, bool)
@@ -109,7 +114,7 @@ def minimisers(windows: Windows, buf: np.ndarray, off: np.ndarray) -> Runs:
         left, right = windows.extended(buf, at)
         names[:, 0] = np.where(before, mix(left ^ h) & LOW48, U64(0))
         names[:, 1] = np.where(after, mix(right + h) & LOW48, U64(0))
-    return Runs(first, last, row, h, names, rows)
+    return Runs(first, last, row, h, at, names, rows)
 
 
 def _six(h: np.ndarray) -> bytes:
@@ -233,6 +238,44 @@ def super_kmers(base: DataFrame, shared: DataFrame, copies: DataFrame, windows:
     return fresh.select("rid", "doc_id", "text", "hashes").mapInArrow(cut, "h long, digest long, string binary, rid binary, doc_id long, start int, n int")
 
 
+def by_context(hot: DataFrame, windows: Windows) -> DataFrame:
+    """part, h, digest, string, least, start: each string cut at the last window that holds
+    the ``reach`` units before its minimiser's gram. Windows up to it are dealt by the gram
+    and those units, windows after it by the gram and the ``reach`` units after it, which they
+    hold. start is the piece's first unit in the whole string."""
+    import xxhash
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, buf, off in chunks(batch, "string"):
+                runs = minimisers(windows, buf, off)
+                raw = buf.tobytes()
+                units = [raw[off[r] : off[r + 1]] if windows.bytes_apart else raw[off[r] : off[r + 1]].split() for r in range(b - a)]
+                glue = b"" if windows.bytes_apart else b" "
+                parts, pieces, rows, starts = [], [], [], []
+                for row, first, last, at in zip(runs.row.tolist(), *((x - runs.rows[runs.row]).tolist() for x in (runs.first, runs.last, runs.at)), strict=True):
+                    edge, whole = at - windows.reach, units[row]
+                    for side, x, y, context in ((1, first, min(last, edge), (edge, at + windows.gram)), (2, max(first, edge + 1), last, (at, at + windows.gram + windows.reach))):
+                        if x <= y:
+                            text = whole[slice(*context)]
+                            parts.append(xxhash.xxh3_64_intdigest(text if windows.bytes_apart else glue.join(text), seed=side))
+                            piece = whole[x : y + windows.width]
+                            pieces.append(piece if windows.bytes_apart else glue.join(piece))
+                            rows.append(a + row)
+                            starts.append(x)
+                which = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(parts, U64).view(np.int64)), batch.column(0).take(which), batch.column(1).take(which), pa.array(pieces, pa.binary()), batch.column(3).take(which), pa.array(starts, pa.int32())], names=["part", "h", "digest", "string", "least", "start"])
+
+    return hot.select("h", "digest", "string", "least").mapInArrow(cut, "part long, h long, digest long, string binary, least long, start int")
+
+
+def hot_minimisers(strings: DataFrame, least: int) -> DataFrame:
+    """h of more than ``least`` runs and more than a quarter of a partition's share of all: fewer
+    than four for each partition, 8 bytes each, so they are broadcast."""
+    share = strings.count() // (4 * partitions(strings.sparkSession))
+    return strings.groupBy("h").agg(F.count("*").alias("_n")).where(F.col("_n") > max(least, share)).select("h", F.lit(True).alias("_hot"))
+
+
 def marked_strings(strings: DataFrame, windows: Windows) -> DataFrame:
     """h, digest, least, runs: in each distinct string, the stretches (pairs of 32-bit
     unit numbers) covered by windows that also start in a smaller document than least."""
@@ -258,28 +301,36 @@ def marked_strings(strings: DataFrame, windows: Windows) -> DataFrame:
         held: list[bytes] = []
         least: list[int] = []
         names: list[tuple[int, int]] = []
+        starts: list[int] = []
         at = -1
 
         def flush() -> pa.RecordBatch:
-            out = mark(held, np.array(least, np.int64))
+            out = [(np.frombuffer(x, "<i4") + np.int32(s)).tobytes() for x, s in zip(mark(held, np.array(least, np.int64)), starts, strict=True)]
             h, digest = zip(*names, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(digest, pa.int64()), pa.array(least, pa.int64()), pa.array(out, pa.binary())], names=["h", "digest", "least", "runs"])
 
         for batch in batches:
-            for bucket, h, digest, string, low in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+            for bucket, h, digest, string, low, start in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
                 if bucket != at and held:
                     yield flush()
-                    held, least, names = [], [], []
+                    held, least, names, starts = [], [], [], []
                 at = bucket
                 held.append(string)
+                starts.append(start)
                 least.append(low)
                 names.append((h, digest))
         if held:
             yield flush()
 
     distinct = strings.groupBy("h", "digest", "string").agg(F.min("doc_id").alias("least"))
-    bucket = F.pmod("h", F.lit(partitions(spark) * BUCKETS_A_PARTITION)).cast("int")
-    placed = distinct.select(bucket.alias("bucket"), "h", "digest", "string", "least").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
+    whole = lambda df: df.select(F.col("h").alias("part"), "h", "digest", "string", "least", F.lit(0).alias("start"))
+    if windows.hot:
+        flagged = distinct.join(F.broadcast(hot_minimisers(strings, windows.hot)), "h", "left")
+        parts = whole(flagged.where("_hot is null")).unionByName(by_context(flagged.where("_hot"), windows))
+    else:
+        parts = whole(distinct)
+    bucket = F.pmod("part", F.lit(partitions(spark) * BUCKETS_A_PARTITION)).cast("int")
+    placed = parts.select(bucket.alias("bucket"), "h", "digest", "string", "least", "start").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
     return placed.mapInArrow(sort_buckets, "h long, digest long, least long, runs binary")
 
 

@@ -52,8 +52,12 @@ def word_window_classes(width: int):
     return classes
 
 
-def word_windows(width: int) -> Windows:
-    return Windows(width, GRAM_WORDS, split_words, word_window_classes(width), False)
+#: Runs of one minimiser beyond which its strings are dealt by context.
+HOT = 1024
+
+
+def word_windows(width: int, hot: int = HOT) -> Windows:
+    return Windows(width, GRAM_WORDS, split_words, word_window_classes(width), False, hot=hot)
 
 
 def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
