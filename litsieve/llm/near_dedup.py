@@ -19,10 +19,17 @@ other. That is a prefix filter: with the elements of a centre's rays in one orde
 ones first, a linked pair shares one of the first |D| - need + 1 of both. As most of a copy's
 differences are its own, few of these are shared, and few pairs are left to confirm in a
 group of any size. No pair is lost by it: rays of a centre whose pair isn't generated are
-connected already, or can't be linked.
+connected already, or can't be linked. The elements that are in all variants' reach are
+still shared by a part of them all, so a pair that meets must also pass its bits: each ray
+has 1,024, each telling whether an odd number of D's elements fall on it. A bit in which a
+and b are unlike needs an element that only one of them has, so they are linked only if
 
-Components are found on the cluster by hooking to the least neighbour and pointer
-jumping; nothing but counts goes to the driver.
+    number of unlike bits <= k * (|a| + |b|)
+
+which is as exact, and leaves hardly a pair that isn't linked, up to sets of some thousand.
+
+Components are found on the cluster by pointing to the least neighbour, pointer jumping, and
+going on with the links between what is left; nothing but counts goes to the driver.
 
 Defined cases: texts without words (or null) have empty sets and are linked with nothing;
 a null doc_id is linked with nothing and is its own (null) component; repeated rows and
@@ -43,6 +50,8 @@ from .shared import discard, row_key, written
 from .vec import LOWER, U64, ascii_words, chunks, mix, span_hashes
 
 BINS = 256
+#: 64-bit words of a ray's bits.
+WORDS = 16
 BANDS = 42
 ROWS = 6
 #: Probes that are tried one by one, and those that are tried at once for what is left.
@@ -180,24 +189,49 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(with_sets(pairs.select("a", "b"), sets).mapInArrow(rows, "a long, b long"), "confirmed")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """id, component (its least member) of everything in links (a, b)."""
-    edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = written(edges.distinct(), "links")
-    label = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component"))
+def least_neighbours(edges: DataFrame) -> DataFrame:
+    """id, component of everything in edges: the end of the path from each to its least
+    neighbour, to that one's, and so on. A table of its own."""
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    up = both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component"))
+    over = lambda x: x.join(x.select(F.col("id").alias("component"), F.col("component").alias("above")), "component")
     table = None
     while True:
-        now = label.withColumn("was", F.col("component"))
-        for _ in range(2):  # two steps a round: most groups are stars
-            near = edges.join(now.select(F.col("id").alias("b"), F.col("component").alias("seen")), "b").groupBy(F.col("a").alias("id")).agg(F.min("seen").alias("seen"))
-            hooked = now.join(near, "id").select("id", "was", F.least("component", "seen").alias("component"))
-            above = now.select(F.col("id").alias("component"), F.col("component").alias("above"))
-            now = hooked.join(above, "component").select("id", "was", F.col("above").alias("component"))
-        new = written(now, "labels")
+        up = over(up).select("id", F.col("above").alias("component"))
+        new = written(over(up).select("id", F.col("component").alias("was"), F.col("above").alias("component")), "labels")
         if table is not None:
             discard(table)
-        table, label = new, new.select("id", "component")
+        table, up = new, new.select("id", "component")
         if new.where("was <> component").isEmpty():
+            return table
+
+
+def renamed(edges: DataFrame, label: DataFrame) -> DataFrame:
+    """a, b of edges (in order, once each), with both ends' components in their place; what
+    is within one component is left out."""
+    of = lambda x: label.select(F.col("id").alias(x), F.col("component").alias(f"{x}_in"))
+    ends = edges.join(of("b"), "b", "left").join(of("a"), "a", "left").select(F.coalesce("a_in", "a").alias("x"), F.coalesce("b_in", "b").alias("y"))
+    return ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def relabelled(label: DataFrame, over: DataFrame) -> DataFrame:
+    """label, whose components are members of components in over."""
+    above = over.select(F.col("id").alias("component"), F.col("component").alias("above"))
+    return label.join(above, "component", "left").select("id", F.coalesce("above", "component").alias("component"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """id, component (its least member) of everything in links (a, b). Each round leaves at
+    most half of a component's members, and only the links between these."""
+    edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    label = None
+    while True:
+        over = least_neighbours(edges)
+        left = written(renamed(edges, over), "links")
+        discard(edges)
+        label = over.select("id", "component") if label is None else relabelled(label, over)
+        edges = left
+        if edges.isEmpty():
             discard(edges)
             return label
 
@@ -223,28 +257,34 @@ def star_rays(keyed: DataFrame) -> DataFrame:
 
 
 def differences(rays: DataFrame, sets: DataFrame) -> DataFrame:
-    """c, id, nc, n, component, at (the centre's component), d, elements: the elements that
-    one of a ray and its centre has (named together with the centre), and their number."""
+    """c, id, nc, n, component, at (the centre's component), d, elements, bits: the elements
+    that one of a ray and its centre has (named together with the centre), their number, and
+    for each of some bits whether an odd number of elements fall on it."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            number, elements = [], []
+            number, elements, bits = [], [], [np.zeros(0, np.int64)]
             for c, x, y in zip(batch.column(0).to_pylist(), batch.column(6), batch.column(7), strict=True):
                 left, right = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 apart = np.concatenate([left[~shared_count(right, left)], right[~shared_count(left, right)]])
                 number.append(len(apart))
-                elements.append(mix(apart ^ mix(np.array([c], np.int64).view(U64))).view(np.int64))
+                named = mix(apart ^ mix(np.array([c], np.int64).view(U64)))
+                elements.append(named.view(np.int64))
+                odd = np.bincount((named & U64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             at = np.append(0, np.cumsum(number))
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([*elements, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(6)), pa.array(number, pa.int32()), lists], names=["c", "id", "nc", "n", "component", "at", "d", "elements"])
+            words = pa.ListArray.from_arrays(pa.array(np.arange(len(number) + 1) * WORDS, pa.int32()), pa.array(np.concatenate(bits)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(6)), pa.array(number, pa.int32()), lists, words], names=["c", "id", "nc", "n", "component", "at", "d", "elements", "bits"])
 
     named = rays.select(F.col("c").alias("a"), F.col("id").alias("b"), "nc", "n", "component", "at")
-    return with_sets(named, sets).mapInArrow(rows, "c long, id long, nc int, n int, component long, at long, d int, elements array<long>")
+    return with_sets(named, sets).mapInArrow(rows, "c long, id long, nc int, n int, component long, at long, d int, elements array<long>, bits array<long>")
 
 
 def ray_pairs(apart: DataFrame, percent: int) -> DataFrame:
     """a, b: rays of one centre, of different components, that may be linked, by the prefix
-    filter on their differences from the centre (all numbers are whole: bounds are exact)."""
+    filter on their differences from the centre and by their bits (all numbers are whole:
+    bounds are exact)."""
     p, q = 100 + percent, 100 - percent
     up = lambda x, by: -F.floor(-x / F.lit(by))
     largest = lambda n: F.floor(100 * F.col(n) / percent)
@@ -263,13 +303,16 @@ def ray_pairs(apart: DataFrame, percent: int) -> DataFrame:
     of = F.collect_list(F.struct("times", "t"))
     first = each.join(met, "t").groupBy("c", "id", "n", "component", "at", "d", "far", "need_far", "need_near").agg(F.array_sort(of).alias("shared"))
     own = F.col("d") - F.size("shared")
-    listed = first.select("id", "n", "component", "at", "far", (F.col("d") - F.col("need_far") + 1 - own).alias("to_far"), (F.col("d") - F.col("need_near") + 1 - own).alias("to_near"), F.posexplode("shared").alias("k", "e"))
-    listed = listed.where("k < greatest(to_far, to_near)").select("id", "n", "component", "at", "far", (F.col("k") < F.col("to_far")).alias("pre_far"), (F.col("k") < F.col("to_near")).alias("pre_near"), F.col("e.t").alias("t"))
+    first = first.join(apart.select("c", "id", "bits"), ["c", "id"])
+    listed = first.select("id", "n", "component", "at", "far", "bits", (F.col("d") - F.col("need_far") + 1 - own).alias("to_far"), (F.col("d") - F.col("need_near") + 1 - own).alias("to_near"), F.posexplode("shared").alias("k", "e"))
+    listed = listed.where("k < greatest(to_far, to_near)").select("id", "n", "component", "at", "far", "bits", (F.col("k") < F.col("to_far")).alias("pre_far"), (F.col("k") < F.col("to_near")).alias("pre_near"), F.col("e.t").alias("t"))
     listed = written(listed, "prefixes")
-    left = listed.where("far").select("t", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), "at", F.col("pre_far").alias("a_far"), F.col("pre_near").alias("a_near"))
-    right = listed.select("t", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), "far", "pre_far")
+    left = listed.where("far").select("t", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), "at", F.col("bits").alias("x"), F.col("pre_far").alias("a_far"), F.col("pre_near").alias("a_near"))
+    right = listed.select("t", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), "far", F.col("bits").alias("y"), "pre_far")
     both = (F.col("far") & F.col("a_far") & F.col("pre_far") & (F.col("a") < F.col("b"))) | (~F.col("far") & F.col("a_near") & F.col("pre_far") & (F.col("ca") != F.col("at")))
-    met = left.join(right, "t").where(both & (F.col("ca") != F.col("cb"))).where(similar("na", "nb", percent))
+    unlike = sum((F.bit_count(F.get("x", F.lit(k)).bitwiseXOR(F.get("y", F.lit(k)))) for k in range(WORDS)), F.lit(0))
+    within = p * unlike <= q * (F.col("na") + F.col("nb"))
+    met = left.join(right, "t").where(both & (F.col("ca") != F.col("cb"))).where(similar("na", "nb", percent)).where(within)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -292,7 +335,12 @@ def linked_classes(texts: Callable[[DataFrame], DataFrame], classes: DataFrame,
     apart = written(differences(mixed, sets), "differences", settle=True)
     fresh = confirmed(ray_pairs(apart, percent).join(stars, ["a", "b"], "left_anti"), sets, percent)
     discard(apart, named, rays, sets)
-    return label if fresh.isEmpty() else components(links.unionByName(fresh))
+    if fresh.isEmpty():
+        return label
+    # those without a label are linked by these only
+    more = components(renamed(fresh, label))
+    alone = more.join(label, "id", "left_anti")
+    return relabelled(label, more).unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

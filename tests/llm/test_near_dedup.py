@@ -77,6 +77,47 @@ def test_a_large_group_about_the_threshold(spark):
     same(spark, rows, 3, 85)
 
 
+def test_few_pairs_of_a_large_group_are_compared(spark, monkeypatch):
+    """Variants with edits in common places, hardly any of which are linked: the pairs that
+    are left to confirm don't grow with the square of their number."""
+    rnd = random.Random(4)
+    words = [f"w{k}" for k in range(2000)]
+    base = rnd.choices(words, k=146)
+    rows, seen = [(0, " ".join(base))], []
+    for k in range(1, 600):
+        copy = list(base)
+        for at in rnd.sample(range(146), rnd.choice([1, 3, 4, 5])):
+            copy[at] = ""  # a word goes
+        rows.append((k, " ".join(copy)))
+    real = near_dedup.ray_pairs
+
+    def ray_pairs(apart, percent):
+        pairs = real(apart, percent)
+        seen.append((apart.where("component <> at").count(), pairs.count()))
+        return pairs
+
+    monkeypatch.setattr(near_dedup, "ray_pairs", ray_pairs)
+    same(spark, rows, 5, 80)
+    ((rays, pairs),) = seen
+    assert rays > 100 and pairs < 3 * rays, seen
+
+
+def test_components_of_long_paths(spark):
+    """In an order that leaves many least members at first, and in one that leaves one."""
+    rnd = random.Random(2)
+    ids = rnd.sample(range(1000), 300)
+    links = [*zip(ids, ids[1:], strict=False), *((k, k + 1) for k in range(2000, 2200)), (5000, 4000)]
+    links += [(b, a) for a, b in links[:20]] + links[:5]
+    label = near_dedup.components(spark.createDataFrame(links, "a long, b long"))
+    want = {k: min(ids) for k in ids} | {k: 2000 for k in range(2000, 2201)} | {4000: 4000, 5000: 4000}
+    got = [(r.id, r.component) for r in label.collect()]
+    assert len(got) == len(want) and dict(got) == want
+    more = near_dedup.components(near_dedup.renamed(spark.createDataFrame([(2100, 8000), (5000, ids[3])], "a long, b long"), label))
+    joined = near_dedup.relabelled(label, more).unionByName(more.join(label, "id", "left_anti"))
+    got = {r.id: r.component for r in joined.collect()}
+    assert got == want | {4000: min(ids), 5000: min(ids), 8000: 2000}
+
+
 def test_texts_that_defeat_polynomial_hashes_stay_apart(spark):
     word = "a"
     for _ in range(12):
