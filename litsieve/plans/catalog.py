@@ -523,10 +523,8 @@ def cosine_topk(spark, d):
 
 @query(f"SELECT vec_id, best FROM (SELECT a.vec_id, round(max({_COS}), 6) AS best FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1) WHERE best < 0.4")
 def nearest_neighbor_gap(spark, d):
-    e = unit_vectors(spark, d)
-    other = e.select(F.col("vec_id").alias("other"), F.col("v").alias("w"), "label")
-    near = e.join(other, "label").where("vec_id <> other").groupBy("vec_id").agg(F.round(F.max(v.cosine(F.col("v"), F.col("w"))), 6).alias("best"))
-    return near.where("best < 0.4")
+    near = v.lonely_in_group(unit_vectors(spark, d), 0.4)
+    return near.select("vec_id", F.round("best", 6).alias("best")).where("best < 0.4")
 
 
 @query(f"SELECT vec_id, best FROM (SELECT a.vec_id, round(max({_COS}), 6) AS best FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY 1) WHERE best < 0.4")

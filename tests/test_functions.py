@@ -116,6 +116,28 @@ def test_nearest_is_among_all_other_rows(spark, tmp_path):
     assert sorted(best) == list(range(70)) and np.allclose([best[k] for k in range(70)], want)
 
 
+def test_nearest_within_a_label_pairs_few_rows(spark, tmp_path):
+    """Rows with a near neighbour in their block are done; results are those of all pairs."""
+    rnd = np.random.default_rng(3)
+    rows = [(k, x.tolist(), k % 3) for k, x in enumerate(rnd.normal(size=(160, 30)))]
+    rows += [(k + 160, (np.array(rows[k][1]) * 2).tolist(), rows[k][2]) for k in range(0, 90, 2)]  # copies
+    rows += [(500, [0.0] * 30, 0), (501, None, 0), (502, [1.0] * 30, None), (503, [1.0, 2.0], 1), (504, [1.0] * 30, 7), (7, rows[40][1], 2), (505, [-1.0, 1.0], 2), (506, [1.0, 1.0], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>, label int")
+    best = {}
+    for i, x, a in rows:
+        for j, y, b in rows:
+            if i != j and a == b and a is not None and x and y and len(x) == len(y):
+                size = np.linalg.norm(x) * np.linalg.norm(y)
+                best[i] = max(best.get(i, -1), np.dot(x, y) / size if size else 0.0)
+    for block in (8, 4096):
+        got = {r.vec_id: r.best for r in v.lonely_in_group(df, 0.4, block).where("best < 0.4").collect()}
+        want = {k: x for k, x in best.items() if x < 0.4}
+        assert len(want) > 5 and sorted(got) == sorted(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    df.withColumnRenamed("v", "embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    plan = catalog.queries()["nearest_neighbor_gap"](spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert "zip_with" not in plan and "zipwith" not in plan  # no pair of rows is a row
+
+
 def test_analysis_markdown(spark):
     text = "intro\n##  2. METHODS\r\n2.1. **EMPIRICAL_BASE:** ten firms\nmore\n\n2.2. METHODOLOGY_CLASS: case\n### METHODS\n## VENDORS\n**3.1. **REGULAR_SUPPLIER:** a\nb\n## VENDORS:\n\n3.1. **IT_SUPPLIER:** c"
     rows = spark.createDataFrame([(0, text), (1, None), (2, ""), (3, "## lower\nx"), (4, "## PAPER_HEADER\n## METHODOLOGY")], "id int, x string")
