@@ -150,6 +150,16 @@ def test_analysis_markdown(spark):
     assert lists.select(markdown.steps(F.col("x"))).first()[0] == ["one two", "three"]
 
 
+def test_an_analysis_reads_its_text_once(spark):
+    """Fields of an analysis, and the search for names that come again, don't repeat the
+    search for headers."""
+    rows = spark.createDataFrame([("## A\nx\n## B\n## A\ny",)], "x string")
+    a = rows.select(markdown.analysis(F.col("x")).alias("a")).select("a.title", "a.authors", "a.it_supplier", "a.sections")
+    assert a.first().sections == {"A": "y", "B": ""}
+    plan = a._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1, plan
+
+
 def test_items_keep_digits_at_their_ends(spark):
     """An item's place isn't taken for characters to trim."""
     assert values(spark, table.split_tags, ["0a0: 1b1 :2"]) == [["0a0", "1b1", "2"]]
